@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text
+from .common import cut, fill_parts, text
 
 DIGIT = 10
 TEXT_BITS, ID_BITS = 40, 22
@@ -113,14 +113,16 @@ def find_splitters(digests: DataFrame, n_shards: int, tolerance: float, max_rows
     return probes, placed
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005, max_rows: int = 1 << 20) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005, max_rows: int | None = None) -> DataFrame:
     """docs with size, text_crc32, shard and slot (gapless from 0 in key order within each shard).
 
     Sizes differ from the mean by about the tolerance, or by one document where that is larger.
-    The exchange is one hash exchange by probe; a probe has at most max_rows rows, but for copies
-    of one row that share id and text."""
+    The exchange is one hash exchange by probe; a probe has at most max_rows rows
+    (a quarter of an even share of each shuffle partition where it is not given), but for copies of
+    one row that share id and text."""
     placed_by = docs.withColumns({"_key": sort_key(), "size": (F.octet_length(text()) + 1).cast("long"), "text_crc32": F.crc32(text())})
     digests = cut(placed_by.select(F.col("_key").alias("key"), "size"), "shard-keys")
+    max_rows = max_rows or digests.count() // (4 * fill_parts(docs.sparkSession)) + 1
     probes, placed = find_splitters(digests, n_shards, tolerance, max_rows)
     if not placed:
         return placed_by.drop("_key").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})

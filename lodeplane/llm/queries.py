@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, histogram_sort, quality, surrogates
+from . import bitplane, decontam, histogram_sort, quality, setsketch, surrogates, trie_bpe
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,32 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = trie_bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
+    return trie_bpe.decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, threshold=80).drop("h")
+
+
 def op6_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = bitplane.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return bitplane.read_tokens(manifest)
+
+
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surrogates.replace(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_entities")
@@ -32,6 +53,6 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).drop("lang")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_histogram_sort, op6_prefix_filter, op9_surrogates, op10_divergence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_histogram_sort, op3_trie_bpe, op4_setsketch, op6_prefix_filter, op8_bitplane, op9_surrogates, op10_divergence)}
 
 ORACLE_SQL: dict[str, str] = {}
