@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, decontam, histogram_sort, quality, setsketch, surrogates, trie_bpe
+from . import bitplane, decontam, histogram_sort, quality, rlbwt, setsketch, surrogates, trie_bpe
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, threshold=80).drop("h")
 
 
+def op5_rlbwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlbwt.strip_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -53,6 +58,6 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).drop("lang")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_histogram_sort, op3_trie_bpe, op4_setsketch, op6_prefix_filter, op8_bitplane, op9_surrogates, op10_divergence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_histogram_sort, op3_trie_bpe, op4_setsketch, op5_rlbwt, op6_prefix_filter, op8_bitplane, op9_surrogates, op10_divergence)}
 
 ORACLE_SQL: dict[str, str] = {}
