@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, decontam, histogram_sort, quality, rlbwt, setsketch, surrogates, trie_bpe
+from . import bitplane, chaining, decontam, histogram_sort, quality, rlbwt, setsketch, surrogates, toxicity, trie_bpe
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_sort.shard_documents(read_table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,6 +48,11 @@ def op6_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitplane.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return bitplane.read_tokens(manifest)
@@ -58,6 +67,6 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).drop("lang")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_histogram_sort, op3_trie_bpe, op4_setsketch, op5_rlbwt, op6_prefix_filter, op8_bitplane, op9_surrogates, op10_divergence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chaining, op2_histogram_sort, op3_trie_bpe, op4_setsketch, op5_rlbwt, op6_prefix_filter, op7_nearest_examples, op8_bitplane, op9_surrogates, op10_divergence)}
 
 ORACLE_SQL: dict[str, str] = {}
