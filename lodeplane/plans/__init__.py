@@ -1 +1,12 @@
-"""See the README for the layout of this package."""
+"""Registered queries; importing the modules fills the registry."""
+
+import importlib
+import pkgutil
+
+from .registry import QUERIES, SQL
+
+for _module in pkgutil.iter_modules(__path__):
+    if _module.name.startswith("q_"):
+        importlib.import_module(f"{__name__}.{_module.name}")
+
+__all__ = ["QUERIES", "SQL"]
