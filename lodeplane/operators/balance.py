@@ -11,7 +11,7 @@ def current(stats: DataFrame) -> DataFrame:
     return stats.groupBy("node_id").agg(F.max_by(F.struct("disk_pct", "avail", "rps", "us"), "us").alias("s")).select("node_id", "s.*")
 
 
-def imbalance(stats: DataFrame, value: str) -> Column:
+def imbalance(value: str) -> Column:
     return F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.max(value) - F.min(value))
 
 
@@ -26,10 +26,10 @@ def hysteresis(order: Window, value: Column, high: Column, low: Column) -> Colum
     return F.coalesce(F.last(F.when(value > high, True).when(value < low, False), ignorenulls=True).over(order), F.lit(False))
 
 
-def rate(order: Window, counter: Column, time: Column) -> Column:
+def rate(order: Window, counter: Column, time: Column, unit: float = 1e6) -> Column:
     """Per unit of time; resets count as 0, steps without time are null."""
     dt = time - F.lag(time).over(order)
-    return F.when(dt > 0, F.greatest(F.lit(0), counter - F.lag(counter).over(order)) / dt)
+    return F.when(dt > 0, F.greatest(F.lit(0), counter - F.lag(counter).over(order)) * unit / dt)
 
 
 def rendezvous(keys: DataFrame, nodes: DataFrame, key: str, node: str) -> DataFrame:
