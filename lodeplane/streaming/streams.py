@@ -30,13 +30,13 @@ def sessions(events: DataFrame, key: str, time_us: str, final: str, ttl_us: int
             state.remove()
             yield pd.DataFrame({key: [k[0]], "first_us": [first], "n": [n], "closed": [False]})
             return
-        for frame in frames:
-            for us, kind in frame.sort_values(time_us)[[time_us, "event_type"]].itertuples(index=False):
-                first = us if first is None else first
-                n = min(n + 1, cap)
-                if kind == final:
-                    yield pd.DataFrame({key: [k[0]], "first_us": [first], "n": [n], "closed": [True]})
-                    first, n = None, 0
+        # the rows of a key come in several frames, in no order
+        for us, kind in pd.concat(frames).sort_values(time_us)[[time_us, "event_type"]].itertuples(index=False):
+            first = us if first is None else first
+            n = min(n + 1, cap)
+            if kind == final:
+                yield pd.DataFrame({key: [k[0]], "first_us": [first], "n": [n], "closed": [True]})
+                first, n = None, 0
         if first is None:
             if state.exists:
                 state.remove()
