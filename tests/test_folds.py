@@ -97,8 +97,9 @@ def test_stateful_queries_run(spark, name):
 
 
 def test_session_stream(spark, tmp_path):
-    data = [("a", 0, "view"), ("a", 10 * S, "purchase"), ("a", 20 * S, "view"), ("b", 5 * S, "view")]
+    t = 1_700_000_000 * S
+    data = [("a", t, "view"), ("a", t + 10 * S, "purchase"), ("a", t + 20 * S, "view"), ("b", t + 5 * S, "view")]
     spark.createDataFrame(data, "cid string, us long, event_type string").coalesce(1).write.parquet(str(tmp_path / "in"))
     events = streams.event_stream(spark, str(tmp_path / "in"), "cid string, us long, event_type string")
     out = streams.drain(streams.sessions(events, "cid", "us", "purchase"), "sessions", str(tmp_path / "cp")).collect()
-    assert [(r["cid"], r["first_us"], r["n"], r["closed"]) for r in out if r["closed"]] == [("a", 0, 2, True)]
+    assert [(r["cid"], r["first_us"], r["n"], r["closed"]) for r in out if r["closed"]] == [("a", t, 2, True)]
