@@ -217,9 +217,9 @@ def _(t):
     return lifecycle.noncurrent(lww.with_is_latest(lww.live_versions(t.meta))).select(*ID, "nc_rank")
 
 
-@query("win03", "SELECT upload_id, part_number, etag, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts")
+@query("win03", "SELECT upload_id, part_number, etag, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts")
 def _(t):
-    w = Window.partitionBy("upload_id").orderBy("part_number", "etag").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("upload_id").orderBy("part_number", "etag", "size").rowsBetween(Window.unboundedPreceding, -1)
     return t.parts.select("upload_id", "part_number", "etag", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start"))
 
 

@@ -77,9 +77,9 @@ def _(t):
     return d.select("h", "n", a.alias("first"), b.alias("last"))
 
 
-@query("fn09", "SELECT upload_id, part_number, etag, start, start + size - 1 AS last FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts) WHERE part_number = 2")
+@query("fn09", "SELECT upload_id, part_number, etag, start, start + size - 1 AS last FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts) WHERE part_number = 2")
 def _(t):
-    w = Window.partitionBy("upload_id").orderBy("part_number", "etag").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("upload_id").orderBy("part_number", "etag", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = t.parts.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).where("part_number = 2")
     return d.select("upload_id", "part_number", "etag", "start", (F.col("start") + F.col("size") - 1).alias("last"))
 

@@ -186,12 +186,12 @@ def _(t):
     return live.where("bucket = 'N'").join(live.where("bucket = 'R'"), "key", "left_anti").select("key")
 
 
-OFFSETS = "(SELECT upload_id, part_number, size, etag, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts)"
+OFFSETS = "(SELECT upload_id, part_number, size, etag, coalesce(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number, etag, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts)"
 
 
 @query("jon18", f"SELECT o.upload_id, o.part_number, o.etag, q.at - o.start AS inside FROM {OFFSETS} o JOIN (SELECT upload_id, CAST(upload_id AS BIGINT) * 1000003 % 100000000 AS at FROM uploads) q USING (upload_id) WHERE q.at >= o.start AND q.at < o.start + o.size")
 def _(t):
-    w = Window.partitionBy("upload_id").orderBy("part_number", "etag").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("upload_id").orderBy("part_number", "etag", "size").rowsBetween(Window.unboundedPreceding, -1)
     o = t.parts.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)))
     q = t.uploads.select("upload_id", (F.col("upload_id").cast("long") * 1000003 % 100000000).alias("at"))
     return o.join(q, "upload_id").where("at >= start AND at < start + size").select("upload_id", "part_number", "etag", (F.col("at") - F.col("start")).alias("inside"))
