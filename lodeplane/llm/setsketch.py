@@ -9,14 +9,15 @@ probability close to their Jaccard similarity.
 1. Equal sets are one node, named by a 128-bit digest.
 2. Bands of registers are hashed; nodes that share a band meet in a bucket. With 40 bands of 5 a
    pair at the threshold of 0.8 is missed with a probability of about 1e-7.
-3. Within a bucket one pivot is compared with all others, never all with all. A pivot has met its
-   whole bucket and leaves it; a bucket is done when all that are left have one component. Pivots
-   come from the smallest component in the bucket, and of these the one that meets most others.
-   Rounds go on until no bucket is left. When what is left is fewer pairs than PAIRS_A_NODE times
-   the nodes, they are tested in one go.
-4. A candidate pair is estimated from its registers by maximum likelihood, with the set sizes
+3. Within a bucket one pivot, the node that meets most others in all buckets, is compared with all
+   others. A candidate pair is estimated from its registers by maximum likelihood, with the set sizes
    known. Pairs whose estimate is more than MARGIN (six standard deviations) under the threshold
    go; all others are verified on their full sets.
+4. Buckets whose other nodes are one component by then are done, which most are. Nodes of the other
+   buckets are grouped by shared buckets, sorted by set size and cut into chunks of CHUNK elements;
+   chunks whose sizes can be similar are compared with each other, two at a time, by counting common
+   elements with a matrix product. Only links that join what wasn't joined leave a task; pairs are
+   never written out.
 5. Components of the verified links give component_id.
 
 Defined results: documents without words are linked with nothing. Rows without doc_id are linked
@@ -31,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text
@@ -43,7 +44,8 @@ M = BANDS * ROWS
 B = 1.001
 LOW = 4000  # register value at a minimum of 1; minima from e**-61 to e**4 keep their place
 MARGIN = 0.17
-PAIRS_A_NODE = 4
+CHUNK = 60_000
+COLUMNS = 4096
 BROADCAST_NODES = 500_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,44 +159,87 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, pairs.schema)
 
 
+def _block_links(a: list[np.ndarray], b: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of similar pairs of sets, by exact counts of common elements."""
+    every = np.unique(np.concatenate([*a, *b]))
+    common = np.zeros((len(a), len(b)), np.float32)
+    cells = []
+    for side in (a, b):
+        owner, column = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.searchsorted(every, np.concatenate(side))
+        order = np.argsort(column, kind="stable")
+        cells.append((owner[order], column[order]))
+    for at in range(0, len(every), COLUMNS):
+        dense = []
+        for side, (owner, column) in zip((a, b), cells, strict=True):
+            x, y = np.searchsorted(column, [at, at + COLUMNS])
+            dense.append(np.zeros((len(side), COLUMNS), np.float32))
+            dense[-1][owner[x:y], column[x:y] - at] = 1
+        common += dense[0] @ dense[1].T
+    n_a, n_b = (np.array([len(x) for x in side], float) for side in (a, b))
+    return np.nonzero(100 * common >= threshold * (n_a[:, None] + n_b[None, :] - common))
+
+
+def _forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """As few of the links as join what all of them join."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a, b, strict=True):
+        if (p := find(x)) != (q := find(y)):
+            root[max(p, q)] = min(p, q)
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
+
+
+def _open_links(live: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links among nodes (bucket, node) that share buckets, compared chunk by chunk."""
+    star = live.join(live.groupBy("bucket").agg(F.min("node").alias("first")), "bucket")
+    groups = components(star.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("label", "grp")
+    so_far = F.sum("n").over(Window.partitionBy("grp").orderBy("n", "node"))
+    member = cut(groups.join(nodes.select("node", "n"), "node").withColumn("chunk", F.floor(so_far / CHUNK)), "members")
+    chunk = member.groupBy("grp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = chunk.select("grp", F.col("chunk").alias("j"), F.col("low").alias("low_j"))
+    pair = cut(chunk.withColumnRenamed("chunk", "i").join(other, "grp").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= threshold * F.col("low_j"))).select("grp", "i", "j"), "blocks")
+    sides = pair.select("grp", "i", "j", F.col("i").alias("chunk")).unionByName(pair.where("i < j").select("grp", "i", "j", F.col("j").alias("chunk")))
+    rows = member.join(sides, ["grp", "chunk"]).join(texts, "node").select("grp", "i", "j", "chunk", "node", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = list(sets(table.column("text").combine_chunks(), k))
+        where = table.column("chunk").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x, y = np.flatnonzero(where == i), np.flatnonzero(where == j)
+        r, c = _block_links([own[q] for q in x], [own[q] for q in y], threshold)
+        keep = (x[r] < y[c]) if i == j else np.ones(len(r), bool)
+        a, b = _forest(x[r[keep]].tolist(), y[c[keep]].tolist())
+        node = table.column("node").combine_chunks()
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    return rows.groupBy("grp", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def links(sk: DataFrame, texts_of, k: int, threshold: int) -> DataFrame:
     """a, b: links between nodes that join all nodes of each component. texts_of(wanted): node, text of wanted (node, doc_id, h)."""
     nodes = cut(sk.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes")
     each = nodes.select("node", F.explode("bands").alias("bucket"))
-    live = each.join(each.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket")
-    live = cut(live, "buckets")
-    live = cut(live.join(live.groupBy("node").agg(F.sum("c").alias("meets")), "node").select("bucket", "node", "meets", F.col("node").alias("label")), "buckets")
-    n_nodes = nodes.count()
+    live = cut(each.join(each.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket"), "buckets")
+    live = cut(live.join(live.groupBy("node").agg(F.sum("c").alias("meets")), "node").select("bucket", "node", "meets"), "buckets")
     texts = cut(texts_of(live.select("node").distinct().join(nodes.select("node", "at.doc_id", "at.h"), "node")), "texts")
-    tested, found = None, None
-    while True:
-        sizes = live.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        bucket = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
-        bucket = cut(bucket, "open")
-        left = bucket.select(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-        if not left:
-            break
-        live = live.join(bucket.select("bucket"), "bucket", "left_semi")
-        last = left <= PAIRS_A_NODE * n_nodes
-        if last:
-            first = live.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        else:
-            best = live.join(sizes, ["bucket", "label"]).groupBy("bucket").agg(F.max(F.struct((-F.col("c")).alias("c"), "meets", "node", "label")).alias("p"))
-            first = cut(best.select("bucket", F.col("p.node").alias("a"), F.col("p.label").alias("la")), "pivots")
-        pairs = live.select("bucket", F.col("node").alias("b"), "label").join(first, "bucket").where("a <> b and la <> label")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        good = cut(_verified(_likely(pairs, nodes, threshold), texts, k, threshold), "links")
-        found = good if found is None else found.unionByName(good)
-        if last:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(found).withColumnRenamed("label", "new")
-        live = live.join(first.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        live = cut(live.join(labels, "node", "left").select("bucket", "node", "meets", F.coalesce("new", "node").alias("label")), "buckets")
-    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+    pivots = cut(live.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")), "pivots")
+    pairs = live.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    found = cut(_verified(_likely(pairs, nodes, threshold), texts, k, threshold), "links")
+    labels = components(found)
+    left = live.join(pivots, "bucket").where("node <> pivot").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    still = left.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    left = cut(left.join(still, "bucket", "left_semi").select("bucket", "node"), "open")
+    if left.isEmpty():
+        return found
+    return found.unionByName(cut(_open_links(left, nodes, texts, k, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
