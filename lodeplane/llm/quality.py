@@ -106,7 +106,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.when(a.isNotNull(), F.lit(0.0)))
     terms = F.zip_with(share(p), share(q), lambda a, b: 0.5 * (part(a, (a + b) / 2) + part(b, (a + b) / 2)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)))
+    return let(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v), lambda x: F.sqrt(F.when(x < 0, 0.0).otherwise(x)))
 
 
 def _sums(column: str, n: int) -> Column:
