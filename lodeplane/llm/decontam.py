@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, text
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD_OF_EITHER_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 8 << 20
 
 
@@ -25,9 +26,9 @@ def tokens(c: Column) -> Column:
     return F.filter(_pieces(ascii_lower(c)), lambda w: w != "")
 
 
-def _pieces(c: Column) -> Column:
+def _pieces(lowered: Column) -> Column:
     """The words, with an empty piece before or after them where the text begins or ends with a gap."""
-    return F.split(c, NOT_WORD)
+    return F.split(lowered, NOT_WORD)
 
 
 def _n_words(pieces: Column) -> Column:
@@ -92,7 +93,7 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), contaminated: one row per document row."""
     keyed = _keyed(docs)
     found = _per_document(hits(keyed, items, size))
-    base = docs.select(_key(), _pieces(text()).alias("_ws")).select("_key", _n_words(F.col("_ws")).cast("long").alias("n_words"))
+    base = docs.select(_key(), F.split(text(), NOT_WORD_OF_EITHER_CASE).alias("_ws")).select("_key", _n_words(F.col("_ws")).cast("long").alias("n_words"))
     out = base.join(found, base["_key"].eqNullSafe(found["_key"]), "left").select(base["_key"], "n_words", "n_hit", "ids")
     return out.select(
         F.col("_key.i").alias("doc_id"),

@@ -18,7 +18,7 @@ def documents(seed=3):
     words = base.split(" ")
     shared = prose(rng, 60)
     out = [(1, base), (2, base), (3, " ".join(words[:60] + ["changed"] + words[61:])), (4, " ".join(words[:100])), (5, None), (6, ""), (7, "one two"), (8, "one two"), (9, "  \n\t ")]
-    out += [(10, f"{prose(rng, 40)} {shared} {prose(rng, 40)}"), (11, f"{prose(rng, 30)} {shared} {prose(rng, 20)}"), (12, "spam " * 300), (13, "spam " * 200), (14, "ÄÖÜ ß é 日本語 " * 9), (None, base), (None, None)]
+    out += [(10, f"{prose(rng, 40)} {shared} {prose(rng, 40)}"), (11, f"{prose(rng, 30)} {shared} {prose(rng, 20)}"), (12, "spam " * 300), (13, "spam " * 200), (14, "ÄÖÜ ß é 日本語 " * 9), (15, "A B I AM HERE, NOT there. X"), (None, base), (None, None)]
     out += [(2, base), (20, "x" * 3000), (21, "y" + "x" * 3000), (22, prose(rng, 2500))]
     return [(i, t, "en", "s", len(t) if t is not None else None) for i, t in out]
 
