@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
 Terms: lower-cased words, and the beginnings of longer ones (PREFIX letters and a dash); those whose presence goes with the label (chi-square over all learning rows
-at least MIN_CHI2, in MIN_DOCS of them or more) are kept, the MAX_TERMS strongest at most, but for
+at least MIN_CHI2 and MIN_SHARE of the rows, in MIN_DOCS of them or more) are kept, the MAX_TERMS strongest at most, but for
 words whose beginning is as strong a term.
 Examples: a bounded sample of MAX_EXAMPLES learning rows, the smallest by a hash of the id, as
 TF-IDF vectors (1 + log tf, smoothed idf from all learning rows) of unit length. All words that are
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import cut, text
 
 MAX_EXAMPLES, MAX_TERMS = 6000, 4096
-MIN_CHI2, MIN_DOCS = 20.0, 4
+MIN_CHI2, MIN_SHARE, MIN_DOCS = 20.0, 0.004, 4
 BLOCK, K = 64, 15
 PREFIX, REST = 5, 3.0
 BINS = 20
+MAX_SAID = 50_000
 BROADCAST_ROWS = 1_000_000
 WORD = re.compile(r"\w+")
 
@@ -79,6 +80,8 @@ class Model:
         cell = term[by] * n_blocks + self.who // BLOCK if n_blocks else term[by]
         self.lists = np.searchsorted(cell, np.arange(n_terms * n_blocks + 1))
         self.n_blocks = n_blocks
+        self.ids = np.append(self.ids, np.zeros(n_blocks * BLOCK - len(self.ids), np.int64))
+        self.said: dict = {}
         self.none, self.table = self._calibrated()
 
     def vector(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +98,32 @@ class Model:
         if not len(terms) or not self.n_blocks:
             return []
         bounds = weight @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == K and bounds[b] < best[-1][0] - 1e-9:
+        order = np.argsort(-bounds, kind="stable")
+        scores = np.zeros(self.n_blocks * BLOCK)
+        least, done = 0.0, 0
+        for step in (1, 4, self.n_blocks):  # the best blocks first: they raise the score to beat
+            left = order[done : done + step]
+            left = left[(bounds[left] > 0) & (bounds[left] >= least - 1e-9)]
+            if not len(left):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weight, strict=True):
-                a, z = self.lists[t * self.n_blocks + b], self.lists[t * self.n_blocks + b + 1]
-                scores[self.who[a:z] - b * BLOCK] += w * self.weight[a:z]
-            best += [(float(scores[i]), int(b * BLOCK + i)) for i in np.flatnonzero(scores) if b * BLOCK + i != but]
-            best = sorted(best, key=lambda x: (-round(x[0], 9), self.ids[x[1]]))[:K]
-        return best
+            self._add(scores, terms, weight, left)
+            if but >= 0:
+                scores[but] = 0
+            done += step
+            some = scores[scores > 0]
+            least = np.partition(some, len(some) - K)[len(some) - K] if len(some) >= K else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
+        best = found[np.lexsort((self.ids[found], -np.round(scores[found], 9)))[:K]]
+        return [(float(scores[i]), int(i)) for i in best]
+
+    def _add(self, scores: np.ndarray, terms: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> None:
+        """Adds what the lists of some blocks give; adjoining blocks are read together."""
+        blocks = np.sort(blocks)
+        cut_at = np.flatnonzero(np.diff(blocks) > 1) + 1
+        first, last = blocks[np.concatenate([[0], cut_at])], blocks[np.append(cut_at, len(blocks)) - 1]
+        for t, w in zip(terms, weight, strict=True):
+            for a, z in zip(self.lists[t * self.n_blocks + first], self.lists[t * self.n_blocks + last + 1], strict=True):
+                scores[self.who[a:z]] += w * self.weight[a:z]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -132,10 +150,14 @@ class Model:
         return (alone[0] / alone[1] if alone[1] else 0.0), np.concatenate([np.full(int(n), h / c) for h, c, n in merged])
 
     def score(self, t: str) -> tuple[float, list[int]]:
-        near = self.nearest(*self.vector(Counter(filter(self.at.__contains__, words(t)))))
-        if not near:
-            return self.none, []
-        return float(self.table[int(self.vote(near) * BINS)]), [int(self.ids[i]) for _, i in near[:3]]
+        bag = Counter(filter(self.at.__contains__, words(t)))
+        if (said := self.said.get(key := tuple(sorted(bag.items())))) is None:
+            near = self.nearest(*self.vector(bag))
+            said = (float(self.table[int(self.vote(near) * BINS)]), [int(self.ids[i]) for _, i in near[:3]]) if near else (float(self.none), [])
+            if len(self.said) > MAX_SAID:
+                self.said.clear()
+            self.said[key] = said
+        return said
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     gap = a * F.lit(float(no)) - b * F.lit(float(yes))
     chi2 = gap * gap * (no + yes) / (F.lit(float(yes)) * no * (a + b) * (no + yes - a - b))
     counted = rows.select("text", "toxic").mapInArrow(count, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    top = counted.where((a + b >= MIN_DOCS) & (a + b < no + yes)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
+    top = counted.where((a + b >= MIN_DOCS) & (a + b < no + yes)).withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_SHARE * (no + yes))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
     strength = {r["term"]: r["chi2"] for r in top}
     top = [r for r in top if strength.get(r["term"][:PREFIX] + "-", -1.0) < r["chi2"] or r["term"].endswith("-")]
     idf = [float(np.log((1 + no + yes) / (1 + r["no"] + r["yes"])) + 1) for r in top]
