@@ -56,7 +56,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < SPAN:
         return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = _sums(data)
-    grams = _hash(sums, np.arange(n), np.arange(K, n + K))
+    grams = mix((sums[K:] - sums[:-K]) * powers(len(data) + 1)[1][:n] + np.uint64(K))
     low = (grams & ~np.uint64(0xFFFFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFF))
     width = 1
     while 2 * width <= SPAN:
@@ -64,8 +64,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         width *= 2
     low = np.minimum(low[: n - SPAN + 1], low[SPAN - width :][: n - SPAN + 1])
     windows = np.arange(len(low))
-    rows = np.searchsorted(offsets, windows, "right") - 1
-    ok = windows + LENGTH <= offsets[rows + 1]
+    sizes = np.diff(offsets)
+    rows = np.repeat(np.arange(len(sizes)), sizes)[: len(windows)]
+    ok = (np.repeat(offsets[1:], sizes)[: len(windows)] - windows) >= LENGTH
     windows, rows = windows[ok], rows[ok]
     if not len(windows):
         return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -98,11 +99,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 def settle(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which stretches have an equal one in a document with a smaller id."""
-    order = np.lexsort((doc, content))
-    first = np.concatenate([[True], content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, bool)
-    least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else doc
     out = np.zeros(len(doc), bool)
-    out[order] = doc[order] > least
+    if len(doc):
+        order = np.argsort(content)
+        head = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
+        least = np.minimum.reduceat(doc[order], head)
+        out[order] = doc[order] > np.repeat(least, np.diff(np.append(head, len(order))))
     return out
 
 
@@ -116,14 +118,16 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = (key << np.uint64(8)) | padded[k : n + k]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank, reach = self._rank(key, order), 8
         while reach < 2 * LENGTH and rank.max(initial=0) + 1 < n:
             after = np.zeros(n, np.uint64)
             after[: max(n - reach, 0)] = rank[reach:] + 1
             key = (rank.astype(np.uint64) << np.uint64(32)) | after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank, reach = self._rank(key, order), 2 * reach
+        if n and rank.max() + 1 < n:  # what is equal that far keeps the order of the text
+            order = np.argsort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64))
         before = np.concatenate([[SENTINEL], t[:-1]]).astype(np.uint8)[order] if n else t
         self.order = order
         cut_here = np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == SENTINEL)]) if n else np.zeros(0, bool)
@@ -195,14 +199,14 @@ def _bucket(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     yield done[0], done[1].astype(np.int64), done[2].astype(np.int64)
     start, size = start.astype(np.int64), size.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     if not len(order):
         return
     head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     count = np.diff(np.append(head, len(order)))
     shared = np.minimum.reduceat(doc[order], head) != np.maximum.reduceat(doc[order], head)
+    blocks = np.repeat(np.cumsum(np.add.reduceat(size[order], head) * shared) // BLOCK_BYTES, count)[np.repeat(shared, count)]
     order = order[np.repeat(shared, count)]
-    blocks = np.repeat(np.cumsum(np.add.reduceat(size[np.argsort(key, kind="stable")], head) * shared) // BLOCK_BYTES, count)[np.repeat(shared, count)]
     for a, b in zip(x := np.append(np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])), len(order)) if len(order) else [], x[1:], strict=False):
         at = order[a:b]
         block = gather(data, begin[at], begin[at] + size[at])
@@ -227,7 +231,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             for first, data, offsets in buffers(batch.column(1), BLOCK_BYTES):
                 rows, start, end, gram, content = stretches(data, offsets)
                 held.append((ids[first + rows], start - offsets[rows], end - start, gram, content, gather(data, start, end)))
-                if sum(len(x[5]) for x in held) > 8 * BLOCK_BYTES:
+                if sum(len(x[5]) for x in held) > 6 * BLOCK_BYTES:
                     yield _dealt(held, n)
                     held = []
             if held:
@@ -277,11 +281,19 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     digests = cut(own.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("size")), "digests")
     least = digests.where(f"size >= {LENGTH} and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     whole = cut(digests.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "whole")
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    n_whole = whole.count()
     keyed = own.withColumn("digest", F.md5("text"))
-    distinct = keyed.where(F.col("doc_id").isNotNull()).join(few(whole), ["doc_id", "digest"], "left_anti")
+    distinct = keyed.where(F.col("doc_id").isNotNull()).join(few(whole, n_whole), ["doc_id", "digest"], "left_anti")
     spans = cut(repeated(distinct.select("doc_id", "text")), "spans")
-    marked = keyed.join(few(whole.withColumn("all", F.lit(True))), ["doc_id", "digest"], "left").join(few(spans), "doc_id", "left")
+    marked = keyed.join(few(whole.withColumn("all", F.lit(True)), n_whole), ["doc_id", "digest"], "left")
+    n_ids = spans.count()
+    if n_ids <= BROADCAST_ROWS:  # only documents with spans move
+        ids = F.broadcast(spans.select("doc_id"))
+        none = F.lit(None).cast("array<int>")
+        marked = marked.join(ids, "doc_id", "left_anti").withColumns({"a": none, "b": none}).unionByName(marked.join(ids, "doc_id", "left_semi").join(spans, "doc_id"))
+    else:
+        marked = marked.join(spans, "doc_id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

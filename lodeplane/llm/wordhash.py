@@ -63,7 +63,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     up, down = powers(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(offsets, starts, "right") - 1, starts
+    return hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[starts], starts
 
 
 def run_hashes(hashes: np.ndarray, rows: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
