@@ -40,9 +40,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every document."""
-    path = tokenizer_path(TOKENIZER)
-    ids = trie_bpe.encode(docs.select("doc_id", "text"), path, drop=True)
-    return trie_bpe.decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+    both = trie_bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path(TOKENIZER))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontaminated), ("PII", private), ("BPE encoding and decoding", encoded)]
