@@ -20,6 +20,7 @@ Repeated rows and null ids are kept, as are other columns.
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -36,9 +37,9 @@ UNUSUAL = regex.compile(r"[^\x00-˿‐-⁞]")
 # Fixed value: the public pattern of byte-level BPE.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 RUNS = regex.compile(r"\s\s|\s\Z")
-MAX_KNOWN = 250_000
+MAX_KNOWN = 300_000
 MAX_KNOWN_CHARS = 64
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,15 +49,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def chunk_words(chunk: str) -> list[str]:
+    """PATTERN.findall for a chunk; the commonest forms are told without the pattern."""
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in ",.;:!?" and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return PATTERN.findall(chunk)
+
+
 class Known:
     """Encodings by string, in two generations: what is asked for again outlives what isn't."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, wanted: Iterable[str]) -> list[str]:
-        if len(self.new) > MAX_KNOWN:
+        if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
         new, old, out = self.new, self.old, []
         for w in wanted:
@@ -95,7 +107,7 @@ class TrieBpe:
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.wholes: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
-        self.chunks, self.atoms = Known(), Known()
+        self.chunks, self.atoms = Known(MAX_KNOWN), Known(MAX_KNOWN)
         self.blob, self.library = blob, None
 
     def merged(self, data: bytes) -> list[int]:
@@ -205,7 +217,7 @@ class TrieBpe:
         cut = [[("special", [s]) if s in self.special else self._pieces(s) for s in (self.cut.split(t) if self.cut and "<" in t else [t]) if s] for t in texts]
         chunks = {c for parts in cut for kind, p in parts if kind == "chunks" for c in p}
         atoms = {w for parts in cut for kind, p in parts if kind == "atoms" for w in p}
-        fresh = {c: PATTERN.findall(c) for c in self.chunks.missing(chunks)}
+        fresh = {c: chunk_words(c) for c in self.chunks.missing(chunks)}
         atoms.update(chain.from_iterable(fresh.values()))
         if len(self.fits) > 4 * MAX_KNOWN:
             self.fits = {}
@@ -218,18 +230,33 @@ class TrieBpe:
         self.atoms.forget_long(atoms)
         return out
 
+
+class Decoder:
+    """Token ids to text; bytes that are no UTF-8 become replacement characters."""
+
+    def __init__(self, blob: str) -> None:
+        spec = json.loads(blob)
+        letters = byte_alphabet()
+        self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        self.bytes_of |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return decode_ids(self.bytes_of, ids)
+
 
+def decode_ids(bytes_of: dict[int, bytes], ids: list[int]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-_LOADED: dict[int, TrieBpe] = {}
 
+_LOADED: dict = {}
 
-def _worker(blob) -> TrieBpe:
+
+def _worker(kind, blob):
     """One table per Python worker."""
-    if (k := hash(blob.value)) not in _LOADED:
+    if (k := (kind, hash(blob.value))) not in _LOADED:
         _LOADED.clear()
-        _LOADED[k] = TrieBpe(blob.value)
+        _LOADED[k] = kind(blob.value)
+        gc.freeze()  # the tables stay; walking them over and over finds nothing
     return _LOADED[k]
 
 
@@ -267,7 +294,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", drop: bool = False) -> DataFrame:
     """docs with ids, the token ids of column."""
     blob = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
-    return mapped(docs, column, T.StructField("ids", T.ArrayType(T.IntegerType())), pa.list_(pa.int32()), lambda texts: _lists(_worker(blob).encode_all(texts)), drop)
+    return mapped(docs, column, T.StructField("ids", T.ArrayType(T.IntegerType())), pa.list_(pa.int32()), lambda texts: _lists(_worker(TrieBpe, blob).encode_all(texts)), drop)
 
 
 def decode(df: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFrame:
@@ -280,8 +307,27 @@ def decode(df: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFrame
             at = batch.schema.names.index(column)
             ids = batch.column(at)
             values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            bpe = _worker(blob)
+            bpe = _worker(Decoder, blob)
             texts = [bpe.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, column: str = "text") -> DataFrame:
+    """docs without column, with ids and decoded: encode and decode in one pass and one worker."""
+    blob = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
+    rest = [f for f in docs.schema.fields if f.name != column]
+    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _worker(TrieBpe, blob)
+        for batch in batches:
+            kept = batch.select([f.name for f in rest])
+            for start, texts in sliced(batch, column):
+                ids = bpe.encode_all(texts)
+                texts.clear()
+                decoded = pa.array([decode_ids(bpe.bytes_of, i.tolist()) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*kept.slice(start, len(ids)).columns, _lists(ids), decoded], names=[f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
