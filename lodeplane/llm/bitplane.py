@@ -25,9 +25,7 @@ import json
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fill_parts, scratch_root, text
-from .trie_bpe import Known
+from .trie_bpe import Known, sliced
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
@@ -129,11 +127,11 @@ class Reader:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each distinct word where words can be told apart without it."""
+    """The tokenizers library, asked once for each distinct chunk between white space where such
+    chunks don't depend on each other. Many chunks go in one call, set apart by MARK."""
 
-    # Fixed value: the pattern in the tokenizer file. It agrees with the library on the usual characters.
-    PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
-    UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-\u02ff\u2010-\u205e]|<\|")
+    UNUSUAL = regex.compile(r"[^\x00\x02-\x1b\x20-\u02ff\u2010-\u205e]|<\|")
+    MARK = "\x01"
 
     def __init__(self, blob: str) -> None:
         from tokenizers import Tokenizer
@@ -141,30 +139,33 @@ class WordEncoder:
         self.library = Tokenizer.from_str(blob)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks, self.words = Known(), Known()
+        self.chunks = Known(500_000)
+        self.mark = self.whole(self.MARK)
 
     def whole(self, t: str) -> list[int]:
         return self.library.encode(t, add_special_tokens=False).ids
 
-    def encode(self, t: str) -> np.ndarray:
-        if self.UNUSUAL.search(t):
-            return np.array(self.whole(t), np.uint32)
-        chunks = t.lower().split()
-        distinct = set(chunks)
-        fresh = {c: self.PATTERN.findall(c) for c in self.chunks.missing(distinct)}
-        words = set(chain.from_iterable(fresh.values()))
-        known = self.words.new if not words else self._learn(words)
-        self.chunks.new |= {c: b"".join(map(known.__getitem__, ws)) for c, ws in fresh.items()}
-        out = np.frombuffer(b"".join(map(self.chunks.new.__getitem__, chunks)), np.uint32)
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            ids = np.array(self.whole(f" {self.MARK} ".join(some)), np.uint32)
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            if len(ends) != len(some) or len(self.mark) != 1:
+                raise ValueError("the tokenizer doesn't keep the mark apart")
+            raw, start = ids.tobytes(), 0
+            for c, end in zip(some, ends, strict=True):
+                self.chunks.new[c] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [None if self.UNUSUAL.search(t) else t.lower().split() for t in texts]
+        distinct = set().union(*(c for c in cut if c))
+        self._learn(self.chunks.missing(distinct))
+        look = self.chunks.new.__getitem__
+        out = [np.array(self.whole(t), np.uint32) if c is None else np.frombuffer(b"".join(map(look, c)), np.uint32) for t, c in zip(texts, cut, strict=True)]
         self.chunks.forget_long(distinct)
-        self.words.forget_long(words)
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        for w in self.words.missing(words):
-            self.words.new[w] = array("I", self.whole(w)).tobytes()
-        return self.words.new
-
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, bits: bool = True) -> DataFrame:
     """Writes the token files and returns their manifest: part, path, n_docs, n_ids, base (ids in earlier files)."""
@@ -180,12 +181,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder, writer, out = WordEncoder(blob.value), None, None
         for batch in batches:
-            for doc_id, t in zip(batch.column(0), batch.column(1), strict=True):
+            for first, texts in sliced(batch, "text"):
                 if writer is None:
                     out = where.open_output_stream(f"{name}.tmp")
                     writer = Writer(out, bits)
-                i = doc_id.as_py()
-                writer.add(NULL_ID if i is None else i, np.append(encoder.encode(t.as_py()), np.uint32(end_id)))
+                for i, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), encoder.encode_all(texts), strict=True):
+                    writer.add(NULL_ID if i is None else i, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
