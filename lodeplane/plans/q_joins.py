@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as fn
 from ..operators import balance, lifecycle, lww, policy, repair
 from ..sources.adapters import Tables
 from .q_sources import ID, LAST_STATS, rows
