@@ -190,6 +190,27 @@ def test_fuzzy_passages(spark):
     assert chaining.passages(empty(spark)).count() == 0
 
 
+def changed(rng, words, at):
+    return [f"new{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_passages_with_changed_words_are_found(spark):
+    rng, rows, same = random.Random(11), [], {}
+    for k in range(60):
+        n = rng.choice([50, 60, 80, 120])
+        words = prose(rng, n).split(" ")
+        at = [set(range(4, n, 5)), set(range(7, n, 8)), set(range(11, n, 12)), set(rng.sample(range(n), n // 5)), set(rng.sample(range(n), n // 10)), set(rng.sample(range(n), n // 20))][k % 6]
+        same[2 * k + 1] = n - len(at)
+        for i, w in enumerate((words, changed(rng, words, at))):
+            rows.append((2 * k + i, f"{prose(rng, 40 + 70 * i)} {' '.join(w)} {prose(rng, 60)}", "en", "s", 0))
+    best = {}
+    for r in chaining.passages(frame(spark, rows)).collect():
+        assert r["similarity"] >= chaining.SIMILARITY and r["n_aligned"] >= chaining.MIN_WORDS
+        if r["of_doc_id"] == r["doc_id"] - 1:
+            best[r["doc_id"]] = max(best.get(r["doc_id"], 0), r["n_aligned"])
+    assert {i for i, n in same.items() if n >= chaining.MIN_WORDS and best.get(i, 0) < n} == set()
+
+
 def test_chains_are_the_best_collinear_ones():
     x, y = [0, 20, 40, 60, 10, 30], [100, 120, 141, 160, 5, 900]
     assert chaining.chains(x, y)[0] == [0, 1, 2, 3]
