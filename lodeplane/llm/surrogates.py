@@ -57,7 +57,8 @@ CARD = r"(?<![\w.])(?:\d{4}[ \-]){3}\d{1,7}(?![\w])|(?<![\w.])\d{13,19}(?![\w])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}[\p{L}'\-]{1,31}(?: \p{Lu}[\p{L}'\-]{1,31}){0,2}"
 ENTITY = f"{EMAIL}|{IPV4}|{SECRET}|{PHONE}|{CARD}|{NAME}"
-MAY_HAVE = r"@|\d\d\d|\d\.\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+# What ENTITY matches, MAY_HAVE matches.
+MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
 
 
 def _luhn_sum(digits: Column) -> Column:
