@@ -1,7 +1,7 @@
 """PII: detected entities get keyed surrogates of their own type and format.
 
 Types: e-mail addresses, IPv4 addresses, payment card numbers (13 to 19 digits that pass the Luhn
-check), telephone numbers with country code or area code, secrets of 32 or more hexadecimal
+check), telephone numbers with country code or area code (see PHONE), secrets of 32 or more hexadecimal
 digits, and names after a title. A surrogate keeps length, letter case, digit places and
 punctuation; cards pass the Luhn check and keep the first digit; names keep the gender that the
 title tells, the number of parts and the script (Latin, Greek or Cyrillic).
@@ -52,13 +52,24 @@ SYLLABLES = {
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\w])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
+# With country code: 7 digits or more, in groups of up to four after the code. With area code: as written in
+# North America, with the trunk zero of France and Germany, or nine digits from 6 to 9 as in Spain.
+PHONE = (
+    r"\+(?=(?:[ .()/\-]{0,3}\d){7})\d{1,3}[ .\-]?\(?\d{1,4}\)?(?: ?/ ?\d{1,4}|[ .\-]?\d{1,4}){2,5}(?!\d)"
+    r"|\+(?=(?:[ .()/\-]{0,3}\d){7})\d{1,3}[ .\-]?\(\d{1,4}\) ?\d{1,4}(?:(?: ?/ ?|[ .\-])\d{2,8}){1,5}(?!\d)"
+    r"|\+\d{1,3}[ .\-]\(?\d{1,4}\)?(?: ?/ ?|[ .\-])\d{5,8}(?:[ .\-]\d{1,4})?(?!\d)"
+    r"|(?<![\d\w])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
+    r"|(?<![\w.+\-/])(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w\-/]|\.\d)"
+    r"|(?<![\w.+\-/])0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4}|\d{8})(?![\w\-/]|\.\d)"
+    r"|(?<![\w.+\-/])(?=\(?(?:[ ()/\-]{0,3}\d){8})(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}(?: ?/ ?|[ \-]))\d{2,8}(?:[ \-]\d{2,4}){0,3}(?![\w\-/]|\.\d)"
+    r"|(?<![\w.+\-/]|\d[ ,])[6-9]\d(?:\d[ \-]\d{3}[ \-]\d{3}|\d[ \-]\d\d[ \-]\d\d[ \-]\d\d|[ \-]\d{3}[ \-]\d\d[ \-]\d\d)(?![\w\-/]|[.,]\d| \d)"
+)
 CARD = r"(?<![\w.])(?:\d{4}[ \-]){3}\d{1,7}(?![\w])|(?<![\w.])\d{13,19}(?![\w])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}[\p{L}'\-]{1,31}(?: \p{Lu}[\p{L}'\-]{1,31}){0,2}"
 ENTITY = f"{EMAIL}|{IPV4}|{SECRET}|{PHONE}|{CARD}|{NAME}"
 # What ENTITY matches, MAY_HAVE matches.
-MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|0\d[ .\-]\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -83,7 +94,7 @@ def _kind(v: Column) -> Column:
         F.when(v.contains("@"), "email")
         .when(v.rlike(f"^(?:{IPV4})$"), "ip")
         .when(v.rlike(r"^[0-9a-f]{32,64}$|^[0-9A-F]{32,64}$"), "secret")
-        .when(v.rlike(r"^[+(]"), "phone")
+        .when(v.rlike(f"^(?:{PHONE})$"), "phone")
         .when(v.rlike(r"^\d"), F.when(F.length(digits).between(13, 19) & luhn, "card"))
         .otherwise("name")
     )
@@ -91,7 +102,7 @@ def _kind(v: Column) -> Column:
 
 def _normal(kind: Column, v: Column) -> Column:
     """E-mail addresses and secrets are compared without case, numbers by their digits."""
-    return F.when(kind.isin("email", "secret"), F.lower(v)).when(kind.isin("phone", "card"), F.regexp_replace(v, r"[ .()\-]+", "")).otherwise(v)
+    return F.when(kind.isin("email", "secret"), F.lower(v)).when(kind.isin("phone", "card"), F.regexp_replace(v, r"[ .()/\-]+", "")).otherwise(v)
 
 
 def _shaped(v: Column, h: Column) -> Column:

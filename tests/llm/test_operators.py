@@ -370,6 +370,27 @@ def test_whatever_is_an_entity_passes_the_prefilter(spark):
     assert "+49 30 12 34 56 78" not in out[1] and out[1].removeprefix("call ").removesuffix(" now") in out[2]
 
 
+PHONES = {
+    "fr": ["+33 6 12 34 56 78", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33.6.12.34.56.78", "06 12 34 56 78", "01.23.45.67.89", "01-23-45-67-89", "0612345678"],
+    "de": ["+49 30 12 34 56 78", "+49 (0)30 123456", "+49 30 123456", "+49 170 1234567", "+4930123456", "030 123456", "030/1234567", "(030) 123456", "0170 1234567", "089-12 34 56"],
+    "en": ["+1 (415) 555-0132", "+1 415 555 0132", "+1-415-555-0132", "415-555-0132", "415.555.0132", "415 555 0132", "1-415-555-0132", "(415) 555-0132", "+44 20 7946 0958"],
+    "es": ["+34 612 345 678", "+34 91 234 56 78", "612 345 678", "912 34 56 78", "91 234 56 78"],
+}
+NO_PHONES = ["in 2024 05 01 it", "on 2024-05-01", "1 234 567", "0.12 0.34", "pages 120-135", "+1 2 3 4", "ISBN 978-3-16-148410-0", "12 34 56 78", "5,912 345 678"]
+
+
+def test_usual_telephone_numbers_are_replaced_whole(spark):
+    known = [v for vs in PHONES.values() for v in vs]
+    rows = [(i, f"ring {v} today", "en", "s", 0) for i, v in enumerate(known)] + [(100 + i, f"see {v} here", "en", "s", 0) for i, v in enumerate(NO_PHONES)]
+    shape = lambda t: re.sub(r"\d", "9", t)
+    kinds = {r["value"]: r["kind"] for r in surrogates.entities(frame(spark, rows)).collect()}
+    out = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.replace(frame(spark, rows), "k").collect()}
+    for i, v in enumerate(known):
+        assert kinds.get(re.sub(r"[ .()/\-]", "", v)) == "phone", v
+        assert out[i][1] == 1 and v not in out[i][0] and shape(out[i][0]) == shape(f"ring {v} today"), (v, out[i])
+    assert [out[100 + i] for i in range(len(NO_PHONES))] == [(f"see {v} here", 0) for v in NO_PHONES]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"+1 (200) 555-{i:04d} u{i}@x.org", "en", "s", 1) for i in range(600)]
     texts = [r["text"] for r in surrogates.replace(frame(spark, rows)).collect()]
