@@ -211,6 +211,18 @@ def test_passages_with_changed_words_are_found(spark):
     assert {i for i, n in same.items() if n >= chaining.MIN_WORDS and best.get(i, 0) < n} == set()
 
 
+def test_passages_held_in_parts_or_twice_are_found(spark):
+    rng = random.Random(13)
+    w, filler = prose(rng, 60).split(" "), lambda: prose(rng, 30)
+    texts = [f"{filler()} {' '.join(w[:38])} {filler()}", f"{filler()} {' '.join(w[22:])} {filler()}", f"{filler()} {' '.join(w)} {filler()}", f"{filler()} {' '.join(w)} {filler()}"]
+    twice = prose(rng, 50)
+    texts += [f"{filler()} {twice} {filler()}", f"{filler()} {twice} {filler()} {twice} {filler()}"]
+    out = chaining.passages(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()
+    assert max((r["n_aligned"] for r in out if (r["doc_id"], r["of_doc_id"]) == (3, 2)), default=0) >= 60
+    starts = sorted(r["start"] for r in out if (r["doc_id"], r["of_doc_id"]) == (5, 4) and r["n_aligned"] >= 50)
+    assert len(starts) == 2 and starts[0] <= 30 and 50 < starts[1] <= 110
+
+
 def test_chains_are_the_best_collinear_ones():
     x, y = [0, 20, 40, 60, 10, 30], [100, 120, 141, 160, 5, 900]
     assert chaining.chains(x, y)[0] == [0, 1, 2, 3]
