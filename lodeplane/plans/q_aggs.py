@@ -172,7 +172,7 @@ EVIDENCE = "(SELECT node AS peer, max(us) AS at, bool_and(type <> 'error') AS re
 
 @query("agg27", f"SELECT group_id, count(*) FILTER (WHERE e.peer IS NULL) AS unknown, count(*) FILTER (WHERE NOT e.ready) AS missing, count(*) FILTER (WHERE e.at < 1706400000000000) AS stale, coalesce(bool_and(e.ready AND e.at >= 1706400000000000), false) AND count(*) FILTER (WHERE e.peer IS NULL) = 0 AS allowed FROM groups g LEFT JOIN {EVIDENCE} e USING (peer) GROUP BY group_id")
 def _(t):
-    e = t.event_log.where("event_id % 41 = 0").groupBy(F.col("node").alias("peer")).agg(F.max("us").alias("at"), F.bool_and(F.col("type") != "error").alias("ready"))
+    e = t.event_log.groupBy(F.col("node").alias("peer")).agg(F.max("us").alias("at"), F.bool_and(F.col("type") != "error").alias("ready"))
     fresh = F.col("at") >= 1706400000000000
     unknown = F.count_if(F.col("at").isNull())
     return t.groups.join(e, "peer", "left").groupBy("group_id").agg(unknown.alias("unknown"), F.count_if(~F.col("ready")).alias("missing"), F.count_if(~fresh).alias("stale"), (F.coalesce(F.bool_and(F.col("ready") & fresh), F.lit(False)) & (unknown == 0)).alias("allowed"))
@@ -197,7 +197,7 @@ def _(t):
 def _(t):
     term = F.col("user_id") % 4
     nodes, leaders = F.count_distinct("node"), F.count_distinct(F.when(F.col("value") > 150, F.col("node")))
-    return t.event_log.where("event_id % 20 = 0").groupBy(day().alias("day")).agg(((nodes >= 2) & ((leaders > 1) | (F.max(term) - F.min(term) > 1))).alias("split"))
+    return t.event_log.groupBy(day().alias("day")).agg(((nodes >= 2) & ((leaders > 1) | (F.max(term) - F.min(term) > 1))).alias("split"))
 
 
 @query("agg31", "SELECT group_id, count(*) AS n FROM latest WHERE NOT is_delete_marker GROUP BY group_id")

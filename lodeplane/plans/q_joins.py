@@ -136,7 +136,7 @@ def _(t):
 def _(t):
     voters = t.groups.select("peer").unionByName(rows(t, "('n9') AS v(peer)")).distinct()
     live = F.col("type") != "error"
-    probes = t.event_log.where("event_id % 97 = 0").groupBy(F.col("node").alias("peer")).agg(F.max_by(live, F.struct(live.cast("int").alias("l"), "us")).alias("live"))
+    probes = t.event_log.groupBy(F.col("node").alias("peer")).agg(F.max_by(live, F.struct(live.cast("int").alias("l"), "us")).alias("live"))
     s = balance.current(t.node_stats).select(F.col("node_id").alias("peer"), "disk_pct")
     state = F.when(F.col("live"), "live").when(F.col("live").isNotNull(), "down").when(F.col("disk_pct") < 60, "live").when(F.col("disk_pct").isNotNull(), "down").otherwise("unknown")
     return voters.join(probes, "peer", "left").join(s, "peer", "left").select("peer", state.alias("state"))

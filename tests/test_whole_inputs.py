@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import lodeplane.plans as plans
+from lodeplane.sources.adapters import Tables
 
 DIR = "/root/testdata/sf0.01"
 
@@ -39,3 +40,35 @@ def test_every_event_is_sent(spark, events):
 def test_addresses_of_late_requests_are_matched(spark, tmp_path):
     spark.read.parquet(f"{DIR}/events.parquet").where("event_id >= 400 AND event_id < 420").write.parquet(f"{tmp_path}/events.parquet")
     assert plans.QUERIES["fn04"](spark, str(tmp_path)).count() == 20 * 5
+
+
+def stale_before(us):
+    return us < 1706400000000000
+
+
+def test_gates_weigh_all_evidence(spark, events):
+    e = events.assign(peer=["n" + str(u % 8) for u in events.user_id], us=events.ts.astype("datetime64[us]").astype("int64"))
+    at, ready = e.groupby("peer").us.max().to_dict(), (e.event_type != "error").groupby(e.peer).all().to_dict()
+    groups = {}
+    for r in Tables(spark, DIR).groups.collect():
+        groups.setdefault(r["group_id"], []).append(r["peer"])
+    want = {}
+    for g, peers in groups.items():
+        known = [p for p in peers if p in at]
+        bad = [p for p in known if not ready[p]], [p for p in known if stale_before(at[p])]
+        want[g] = (len(peers) - len(known), len(bad[0]), len(bad[1]), len(known) == len(peers) and not bad[0] and not bad[1])
+    assert {r["group_id"]: (r["unknown"], r["missing"], r["stale"], r["allowed"]) for r in plans.QUERIES["agg27"](spark, DIR).collect()} == want
+
+
+def test_split_brain_counts_all_rows(spark, tmp_path):
+    # two nodes with far terms on one day, none of them in a twentieth of the ids
+    rows = spark.read.parquet(f"{DIR}/events.parquet").where("event_id % 20 <> 0")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    days = rows.selectExpr("date(ts) AS d").distinct().count()
+    assert plans.QUERIES["agg30"](spark, str(tmp_path)).count() == days > 0
+
+
+def test_probes_of_every_event_count(spark, tmp_path):
+    spark.read.parquet(f"{DIR}/events.parquet").where("event_id % 97 <> 0 AND user_id % 8 = 1 AND event_type = 'error'").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["peer"]: r["state"] for r in plans.QUERIES["jon12"](spark, str(tmp_path)).collect()}
+    assert got.pop("n1") == "down" and set(got.values()) == {"unknown"}
