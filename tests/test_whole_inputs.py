@@ -72,3 +72,25 @@ def test_probes_of_every_event_count(spark, tmp_path):
     spark.read.parquet(f"{DIR}/events.parquet").where("event_id % 97 <> 0 AND user_id % 8 = 1 AND event_type = 'error'").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["peer"]: r["state"] for r in plans.QUERIES["jon12"](spark, str(tmp_path)).collect()}
     assert got.pop("n1") == "down" and set(got.values()) == {"unknown"}
+
+
+def test_no_referenced_chunk_is_garbage(spark, tmp_path):
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").where("l_partkey % 3 = 0 AND concat('m', l_orderkey) >= 'm3'")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{DIR}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    used = {f"k{r['l_partkey'] % 1999}" for r in lines.select("l_partkey").distinct().collect()}
+    parts = [r["p_partkey"] for r in spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey").distinct().collect()]
+    free = {f"k{p}": p * 60 for p in parts if f"k{p}" not in used}
+    assert used and free
+    assert {r["chunk"]: r["t_zero"] for r in plans.QUERIES["gc01"](spark, str(tmp_path)).collect()} == {c: t for c, t in free.items() if 120000 - t > 3600}
+    assert {r["chunk"]: r["newest"] for r in plans.QUERIES["jon21"](spark, str(tmp_path)).collect()} == free
+
+
+def test_no_purchased_segment_is_an_orphan(spark, tmp_path):
+    rows = spark.read.parquet(f"{DIR}/events.parquet").where("event_id % 5 <> 0 AND (event_type <> 'purchase' OR event_id % 331 < 100)")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    rows = rows.toPandas()
+    key, cycle = "s" + (rows.event_id % 331).astype(str), rows.ts.astype("datetime64[us]").astype("int64") // 86400000000
+    seen, known = set(zip(cycle, key, strict=True)), set(key[rows.event_type == "purchase"])
+    want = {(c, k) for c, k in seen if (c - 1, k) in seen and k not in known}
+    assert want and {(r["cycle"], r["key"]) for r in plans.QUERIES["gc04"](spark, str(tmp_path)).collect()} == want
