@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
 Terms: lower-cased words, and the beginnings of longer ones (PREFIX letters and a dash); those whose presence goes with the label (chi-square over all learning rows
-at least MIN_CHI2 and MIN_SHARE of the rows, in MIN_DOCS of them or more) are kept, the MAX_TERMS strongest at most, but for
+at least MIN_CHI2, in MIN_DOCS of them or more) are kept, but for
 words whose beginning is as strong a term.
 Examples: a bounded sample of MAX_EXAMPLES learning rows, the smallest by a hash of the id, as
 TF-IDF vectors (1 + log tf, smoothed idf from all learning rows) of unit length. All words that are
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, text
 
-MAX_EXAMPLES, MAX_TERMS = 6000, 4096
-MIN_CHI2, MIN_SHARE, MIN_DOCS = 20.0, 0.004, 4
+MAX_EXAMPLES = 6000
+MIN_CHI2, MIN_DOCS = 20.0, 4
 BLOCK, K = 64, 15
 PREFIX, REST = 5, 3.0
 BINS = 20
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     gap = a * F.lit(float(no)) - b * F.lit(float(yes))
     chi2 = gap * gap * (no + yes) / (F.lit(float(yes)) * no * (a + b) * (no + yes - a - b))
     counted = rows.select("text", "toxic").mapInArrow(count, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    top = counted.where((a + b >= MIN_DOCS) & (a + b < no + yes)).withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_SHARE * (no + yes))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
+    top = counted.where((a + b >= MIN_DOCS) & (a + b < no + yes)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").collect()
     strength = {r["term"]: r["chi2"] for r in top}
     top = [r for r in top if strength.get(r["term"][:PREFIX] + "-", -1.0) < r["chi2"] or r["term"].endswith("-")]
     idf = [float(np.log((1 + no + yes) / (1 + r["no"] + r["yes"])) + 1) for r in top]

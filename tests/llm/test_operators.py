@@ -334,6 +334,14 @@ def test_token_files_equal_the_library(spark, tmp_path):
 # PII
 
 
+def test_rare_terms_of_toxic_rows_stay_with_many_learning_rows(spark):
+    learnt = [i for i in range(23000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rare = set(learnt[:60:10])
+    rows = [(i, f"fine {'zorgle' if i in rare else 'day'}", "en", "s", 0) for i in learnt]
+    labels = spark.createDataFrame([(i, 1, int(k % 10 == 0)) for k, i in enumerate(learnt)], "doc_id long, quality int, toxic int")
+    assert "zorgle" in toxicity.fit(frame(spark, rows), labels).at or "zorgl-" in toxicity.fit(frame(spark, rows), labels).at
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith and Frau Müller, again Mr. John Smith; a.b@mail.com A.B@MAIL.com +1 (212) 555-0199, 4111 1111 1111 1111 not 4111111111111112, 10.20.30.40 token 0123456789abcdef0123456789abcdef Господин Иван Петров"
     rows = [(1, text, "en", "s", 1), (2, "call +1 (212) 555-0199 or +12125550199", "en", "s", 1), (3, "nothing here, only 12 words.", "en", "s", 1), (1, text, "en", "s", 1), (4, None, "en", "s", 1)]
