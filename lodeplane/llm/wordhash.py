@@ -74,7 +74,7 @@ def run_hashes(hashes: np.ndarray, rows: np.ndarray, k: int, short: bool = True)
     factor = np.uint64(1)
     for j in range(k):
         total += hashes[j : n - k + 1 + j] * factor
-        factor = factor * STEP
+        factor = np.uint64(int(factor) * int(STEP) % (1 << 64))
     ok = rows[: n - k + 1] == rows[k - 1 :] if n >= k else np.zeros(0, bool)
     at = np.flatnonzero(ok)
     out, out_rows = mix(total[at]), rows[at]

@@ -228,7 +228,7 @@ def test_chains_are_the_best_collinear_ones():
     assert chaining.chains(x, y)[0] == [0, 1, 2, 3]
 
 
-def test_banded_alignment_equals_the_full_one():
+def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(7)
     a = [rng.randrange(50) for _ in range(80)]
     b = [v for v in a if rng.random() > 0.1]
@@ -236,7 +236,81 @@ def test_banded_alignment_equals_the_full_one():
     for i, v in enumerate(a):
         for j, w in enumerate(b):
             full[i + 1, j + 1] = full[i, j] + 1 if v == w else max(full[i, j + 1], full[i + 1, j])
-    assert chaining.common_length(np.array(a, np.uint64), np.array(b, np.uint64), 4) == full[-1, -1]
+    pairs = chaining.common_pairs(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert len(pairs) == full[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+    assert all(p < q and u < v for (p, u), (q, v) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_chains_equal_a_quadratic_model():
+    rng = random.Random(17)
+    for _ in range(2000):
+        n = rng.randrange(1, 14)
+        x, y, m = ([rng.randrange(k) for _ in range(n)] for k in (110, 110, 8))
+        m = [v + 1 for v in m]
+        best = [float(v) for v in m]
+        for i in sorted(range(n), key=lambda i: x[i]):
+            for j in range(n):
+                if x[j] + m[j] <= x[i] and y[j] + m[j] <= y[i]:
+                    best[i] = max(best[i], best[j] + m[i] - chaining.GAP * (x[i] - x[j] - m[j] + y[i] - y[j] - m[j]))
+        got = chaining.chains(x, y, m)
+        worth = lambda c: sum(m[i] for i in c) - chaining.GAP * sum(x[i] - x[j] - m[j] + y[i] - y[j] - m[j] for j, i in zip(c, c[1:], strict=False))
+        assert abs(worth(got[0]) - max(best)) < 1e-9
+        assert sorted(i for c in got for i in c) == list(range(n))
+
+
+def passages_of(spark, rows):
+    out = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted((r["doc_id"], r["start"], r["end"], r["of_doc_id"], r["of_start"], r["of_end"], r["n_aligned"]) for r in out)
+
+
+def test_passages_equal_a_plain_model(spark):
+    """Passages among words that occur once; each place leads to the first and the last document before that holds it."""
+    rng, fresh = random.Random(19), iter(range(10**9))
+    filler = lambda n: [f"f{next(fresh)}" for _ in range(n)]
+    shared = [filler(rng.randrange(45, 160)) for _ in range(12)]
+    rows, places = [], []
+    for i in range(60):
+        words = filler(rng.randrange(0, 30))
+        for p in rng.sample(range(12), rng.randrange(0, 4)):
+            own = list(shared[p])
+            for at in rng.sample(range(6, len(own) - 6), rng.choice([0, 0, 1, len(own) // 20])):
+                own[at] = next(iter(filler(1)))
+            places.append((p, i, len(words), own))
+            words += own + filler(rng.randrange(1, 90))
+        rows.append((i, " ".join(words)))
+    want = set()
+    for p, i, at, own in places:
+        before = [(j, b, o) for q, j, b, o in places if q == p and j < i]
+        for j, b, o in {min(before)[0]: min(before), max(before)[0]: max(before)}.values() if before else ():
+            n = sum(u == v for u, v in zip(own, o, strict=True))
+            want.add((i, at, at + len(own), j, b, b + len(o), n))
+    got = set(passages_of(spark, rows))
+    assert len(want) > 60 and want <= got
+    assert all((g[1] >= w[1] and g[2] <= w[2]) or g[0] != w[0] or g[3] != w[3] or g[2] <= w[1] or g[1] >= w[2] for g in got - want for w in want)
+    assert passages_of(spark, rng.sample(rows + rows[::3], len(rows + rows[::3]))) == sorted(got)
+
+
+def test_repeated_rows_ids_and_places(spark):
+    rng = random.Random(23)
+    words = [f"p{k}" for k in range(60)]
+    a, b = " ".join(words), f"before it {' '.join(words)} after it"
+    assert passages_of(spark, [(1, a), (2, b)]) == passages_of(spark, [(1, a)] * 3 + [(2, b)] * 4) == [(2, 2, 62, 1, 0, 60, 60)]
+    twice = passages_of(spark, [(1, a), (2, f"{a} {prose(rng, 70)} {a}")])
+    assert [(r[1], r[2]) for r in twice] == [(0, 60), (130, 190)]
+    import hashlib
+
+    other = prose(rng, 80)
+    one = min((b, other), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert passages_of(spark, [(1, a), (2, b), (2, other)]) == passages_of(spark, [(1, a), (2, one)])
+    assert passages_of(spark, [(1, a), (None, b), (3, None), (4, "")]) == []
+
+
+def test_extension_has_no_limit(spark):
+    """Three of four words agree far beyond what is fetched at first, and no run of four does."""
+    words = [f"q{k}" for k in range(1200)]
+    late = [f"z{k}" if k >= 800 and k % 4 == 3 else w for k, w in enumerate(words)]
+    (row,) = passages_of(spark, [(1, " ".join(words)), (2, " ".join(late))])
+    assert row[:3] == (2, 0, 1199) and row[6] == 800 + 300
 
 
 # decontamination
