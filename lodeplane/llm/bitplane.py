@@ -25,6 +25,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,11 +38,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fill_parts, scratch_root, text
-from .trie_bpe import Known, sliced
+from .trie_bpe import Known, _worker, byte_alphabet, sliced
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
 NULL_ID = -(1 << 63)
+LETTERS = {byte: letter for letter, byte in byte_alphabet().items()}
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -126,12 +128,21 @@ class Reader:
         return np.concatenate([self.block(k)[max(a - k * size, 0) : b - k * size] for k in range(a // size, (b - 1) // size + 1)])
 
 
+class _Bytes(dict):
+    """What a character becomes in the byte alphabet."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(map(LETTERS.__getitem__, chr(code).encode()))
+        return self[code]
+
+
 class WordEncoder:
-    """The tokenizers library, asked once for each distinct chunk between white space where such
-    chunks don't depend on each other. Many chunks go in one call, set apart by MARK."""
+    """The tokenizers library. Where a tokenizer splits at white space and by one pattern, its model alone is asked,
+    once for each distinct piece of the chunks between white space; all other tokenizers and texts with unusual
+    characters go through the whole library."""
 
     UNUSUAL = regex.compile(r"[^\x00\x02-\x1b\x20-\u02ff\u2010-\u205e]|<\|")
-    MARK = "\x01"
+    STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
 
     def __init__(self, blob: str) -> None:
         from tokenizers import Tokenizer
@@ -139,31 +150,41 @@ class WordEncoder:
         self.library = Tokenizer.from_str(blob)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = Known(500_000)
-        self.mark = self.whole(self.MARK)
+        self.model = self.library.model
+        self.chunks, self.pieces = Known(400_000), Known(250_000)
+        spec = json.loads(blob)
+        steps = [(spec[k] or {}).get(name) or [] for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.pattern = None
+        if [[x["type"] for x in s] for s in steps] == self.STEPS and steps[0][1]["pattern"] == {"Regex": r"\s+"} and steps[0][1]["content"] == " " and steps[1][0]["behavior"] == "Removed" and steps[1][0]["invert"] and not steps[1][1]["add_prefix_space"]:
+            self.pattern = regex.compile(steps[1][0]["pattern"]["Regex"])
+        self.mapped = _Bytes()
+
+    def _unusual(self, t: str) -> bool:
+        if t.isascii():
+            return "<|" in t or any(c in t for c in "\x01\x1c\x1d\x1e\x1f")
+        return self.UNUSUAL.search(t) is not None
 
     def whole(self, t: str) -> list[int]:
         return self.library.encode(t, add_special_tokens=False).ids
 
     def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            ids = np.array(self.whole(f" {self.MARK} ".join(some)), np.uint32)
-            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            if len(ends) != len(some) or len(self.mark) != 1:
-                raise ValueError("the tokenizer doesn't keep the mark apart")
-            raw, start = ids.tobytes(), 0
-            for c, end in zip(some, ends, strict=True):
-                self.chunks.new[c] = raw[4 * start : 4 * end]
-                start = end + 1
+        split = [(c, [c] if c.isalpha() else self.pattern.findall(c)) for c in fresh]
+        missing = self.pieces.missing({p for _, ps in split for p in ps})
+        for p in missing:
+            tokens = self.model.tokenize(p if p.isascii() and p.isprintable() else p.translate(self.mapped))
+            self.pieces.new[p] = array("I", [t.id for t in tokens]).tobytes()
+        look = self.pieces.new.__getitem__
+        self.chunks.new |= {c: b"".join(map(look, ps)) for c, ps in split}
+        self.pieces.forget_long(missing)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if self.UNUSUAL.search(t) else t.lower().split() for t in texts]
+        cut = [None if self.pattern is None or self._unusual(t) else t.lower().split() for t in texts]
         distinct = set().union(*(c for c in cut if c))
-        self._learn(self.chunks.missing(distinct))
+        fresh = self.chunks.missing(distinct)
+        self._learn(fresh)
         look = self.chunks.new.__getitem__
         out = [np.array(self.whole(t), np.uint32) if c is None else np.frombuffer(b"".join(map(look, c)), np.uint32) for t, c in zip(texts, cut, strict=True)]
-        self.chunks.forget_long(distinct)
+        self.chunks.forget_long(fresh)
         return out
 
 
@@ -179,7 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         where.create_dir(base, recursive=True)
         task = TaskContext.get()
         name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder, writer, out = WordEncoder(blob.value), None, None
+        encoder, writer, out = _worker(WordEncoder, blob), None, None
         for batch in batches:
             for first, texts in sliced(batch, "text"):
                 if writer is None:
