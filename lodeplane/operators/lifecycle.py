@@ -9,10 +9,12 @@ DAY = 86_400
 
 
 def matches() -> Column:
-    """A version against a rule's filter; null criteria match all, sizes are strict."""
+    """A version against a rule's filter; null criteria match all, sizes are strict, and of tags (key=value, set apart by
+    semicolons) the version must have all that the rule names."""
+    have_all = F.forall(F.split("rule_tag", ";"), lambda x: F.array_contains(F.split("tag", ";"), x))
     return (
         F.col("key").startswith(F.col("prefix"))
-        & F.coalesce(F.col("tag") == F.col("rule_tag"), F.col("rule_tag").isNull())
+        & F.coalesce(have_all, F.col("rule_tag").isNull())
         & F.coalesce(F.col("size") > F.col("size_gt"), F.lit(True))
         & F.coalesce(F.col("size") < F.col("size_lt"), F.lit(True))
     )
@@ -28,15 +30,15 @@ def expiry(mod_time: Column, days: Column) -> Column:
 
 
 def expired_current(ranked: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """(rule, version) pairs: current versions, not markers, past their expiry."""
+    """(rule, version) pairs: current versions, not markers, past the rule's date or their own expiry by days."""
     both = ranked.where(F.col("is_latest") & ~F.col("is_delete_marker")).join(enabled(rules), "bucket")
-    return both.where(matches() & F.col("exp_days").isNotNull() & (expiry(F.col("mod_time"), F.col("exp_days")) <= now))
+    return both.where(matches() & (F.coalesce(F.col("exp_date"), expiry(F.col("mod_time"), F.col("exp_days"))) <= now))
 
 
 def dangling_markers(ranked: DataFrame, rules: DataFrame) -> DataFrame:
-    """Current delete markers that are their key's only version, where a rule asks for it."""
+    """Current delete markers that are their key's only version, where a rule whose filter they match asks for it."""
     alone = ranked.withColumn("n", F.count("*").over(Window.partitionBy("bucket", "key"))).where(F.col("is_latest") & F.col("is_delete_marker") & (F.col("n") == 1))
-    return alone.join(enabled(rules).where("exp_marker"), "bucket")
+    return alone.join(enabled(rules).where("exp_marker"), "bucket").where(matches())
 
 
 def noncurrent(ranked: DataFrame) -> DataFrame:
@@ -62,10 +64,17 @@ def expired_uploads(uploads: DataFrame, rules: DataFrame, now: int) -> DataFrame
 def rule_errors(rules: DataFrame) -> DataFrame:
     """The first error of each rule, if any."""
     error = (
-        F.when(~F.col("status").isin("Enabled", "Disabled"), "bad status")
-        .when(F.coalesce("exp_days", "nc_days", "nc_newer", "abort_days").isNull() & ~F.col("exp_marker"), "no action")
-        .when(F.col("exp_days").isNotNull() & F.col("exp_marker"), "days and marker")
+        F.when(F.col("id") == "", "no id")
+        .when(F.count("*").over(Window.partitionBy("bucket", "id")) > 1, "duplicate id")
+        .when(~F.col("status").isin("Enabled", "Disabled"), "bad status")
+        .when(F.coalesce("exp_days", "exp_date", "nc_days", "nc_newer", "abort_days").isNull() & ~F.col("exp_marker"), "no action")
+        .when(F.col("exp_days") < 0, "bad days")
+        .when(F.col("exp_days").isNotNull() & F.col("exp_date").isNotNull(), "days and date")
+        .when(F.coalesce("exp_days", "exp_date").isNotNull() & F.col("exp_marker"), "marker with days or date")
+        .when(F.col("exp_date") % DAY != 0, "date is no midnight")
+        .when(F.lower("tag").rlike("(^|;)aws:"), "reserved tag")
         .when(F.col("size_gt") >= F.col("size_lt"), "empty size range")
         .when(F.col("abort_days").isNotNull() & (F.col("tag").isNotNull() | F.col("size_gt").isNotNull()), "abort with tag or size")
+        .when(F.col("abort_days") <= 0, "bad abort days")
     )
     return rules.select("bucket", "id", error.alias("error"))

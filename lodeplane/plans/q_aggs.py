@@ -167,7 +167,7 @@ def _(t):
     return lww.latest(t.meta, markers=True).select("bucket", "version_id").unionByName(lww.live_versions(t.meta).where("size > 40").select("bucket", "version_id")).distinct()
 
 
-EVIDENCE = "(SELECT node AS peer, max(us) AS at, bool_and(type <> 'error') AS ready FROM event_log WHERE event_id % 41 = 0 GROUP BY node)"
+EVIDENCE = "(SELECT node AS peer, max(us) AS at, bool_and(type <> 'error') AS ready FROM event_log GROUP BY node)"
 
 
 @query("agg27", f"SELECT group_id, count(*) FILTER (WHERE e.peer IS NULL) AS unknown, count(*) FILTER (WHERE NOT e.ready) AS missing, count(*) FILTER (WHERE e.at < 1706400000000000) AS stale, coalesce(bool_and(e.ready AND e.at >= 1706400000000000), false) AND count(*) FILTER (WHERE e.peer IS NULL) = 0 AS allowed FROM groups g LEFT JOIN {EVIDENCE} e USING (peer) GROUP BY group_id")
@@ -193,7 +193,7 @@ def _(t):
     return i.agg(F.count_distinct("node").alias("total"), F.count_if(F.col("issue") == "").alias("healthy"), F.count_if(F.col("issue").isin("leaderless", "unwired")).alias("leaderless"), F.count_if(F.col("issue") == "lagging").alias("lagging"))
 
 
-@query("agg30", "SELECT us // 86400000000 AS day, count(DISTINCT node) >= 2 AND (count(DISTINCT node) FILTER (WHERE value > 150) > 1 OR max(user_id % 4) - min(user_id % 4) > 1) AS split FROM event_log WHERE event_id % 20 = 0 GROUP BY 1")
+@query("agg30", "SELECT us // 86400000000 AS day, count(DISTINCT node) >= 2 AND (count(DISTINCT node) FILTER (WHERE value > 150) > 1 OR max(user_id % 4) - min(user_id % 4) > 1) AS split FROM event_log GROUP BY 1")
 def _(t):
     term = F.col("user_id") % 4
     nodes, leaders = F.count_distinct("node"), F.count_distinct(F.when(F.col("value") > 150, F.col("node")))

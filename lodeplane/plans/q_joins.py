@@ -13,9 +13,9 @@ from .registry import query
 NOW = 1_000_000_000
 ENABLED = "(SELECT * FROM rules WHERE status = 'Enabled')"
 RANKED = "(SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY mod_time DESC, version_id DESC) AS rk, count(*) OVER (PARTITION BY bucket, key) AS n FROM live)"
-MATCH = "starts_with(v.key, r.prefix) AND (r.tag IS NULL OR v.tag = r.tag) AND (r.size_gt IS NULL OR v.size > r.size_gt) AND (r.size_lt IS NULL OR v.size < r.size_lt)"
-CURRENT = f"SELECT v.bucket, v.key, v.version_id, r.id FROM {RANKED} v JOIN {ENABLED} r USING (bucket) WHERE v.rk = 1 AND NOT v.is_delete_marker AND {MATCH} AND r.exp_days IS NOT NULL AND (v.mod_time // 86400 + r.exp_days + 1) * 86400 <= {NOW}"
-MARKERS = f"SELECT v.bucket, v.key, v.version_id, r.id FROM {RANKED} v JOIN {ENABLED} r USING (bucket) WHERE v.rk = 1 AND v.is_delete_marker AND v.n = 1 AND r.exp_marker"
+MATCH = "starts_with(v.key, r.prefix) AND (r.tag IS NULL OR list_has_all(string_split(v.tag, ';'), string_split(r.tag, ';'))) AND (r.size_gt IS NULL OR v.size > r.size_gt) AND (r.size_lt IS NULL OR v.size < r.size_lt)"
+CURRENT = f"SELECT v.bucket, v.key, v.version_id, r.id FROM {RANKED} v JOIN {ENABLED} r USING (bucket) WHERE v.rk = 1 AND NOT v.is_delete_marker AND {MATCH} AND coalesce(r.exp_date, (v.mod_time // 86400 + r.exp_days + 1) * 86400) <= {NOW}"
+MARKERS = f"SELECT v.bucket, v.key, v.version_id, r.id FROM {RANKED} v JOIN {ENABLED} r USING (bucket) WHERE v.rk = 1 AND v.is_delete_marker AND v.n = 1 AND r.exp_marker AND {MATCH}"
 NONCURRENT = f"SELECT v.bucket, v.key, v.version_id, r.id FROM {RANKED} v JOIN {ENABLED} r USING (bucket) WHERE v.rk > 1 AND (r.nc_days IS NOT NULL OR r.nc_newer IS NOT NULL) AND (r.nc_newer IS NULL OR v.rk - 2 >= r.nc_newer) AND (r.nc_days IS NULL OR v.mod_time + r.nc_days * 86400 <= {NOW})"
 UPLOADS = f"SELECT upload_id, id FROM (SELECT u.upload_id, u.initiated, r.id, r.abort_days, row_number() OVER (PARTITION BY u.upload_id ORDER BY r.pos) AS rn FROM uploads u JOIN {ENABLED} r USING (bucket) WHERE r.abort_days IS NOT NULL AND starts_with(u.key, r.prefix)) WHERE rn = 1 AND initiated + abort_days * 86400 <= 880000000"
 
@@ -132,7 +132,7 @@ def _(t):
     return a.join(n, "key", "full").select("key", F.coalesce("a", "n").alias("version_id"), F.col("a").isNotNull().alias("packed"))
 
 
-@query("jon12", "SELECT v.peer, CASE WHEN p.live IS NOT NULL THEN CASE WHEN p.live THEN 'live' ELSE 'down' END WHEN s.node_id IS NOT NULL THEN CASE WHEN s.disk_pct < 60 THEN 'live' ELSE 'down' END ELSE 'unknown' END AS state FROM (SELECT DISTINCT peer FROM groups UNION SELECT 'n9') v LEFT JOIN (SELECT node AS peer, max_by(type <> 'error', (CAST(type <> 'error' AS INT), us)) AS live FROM event_log WHERE event_id % 97 = 0 GROUP BY node) p USING (peer) LEFT JOIN " + LAST_STATS + " s ON s.node_id = v.peer")
+@query("jon12", "SELECT v.peer, CASE WHEN p.live IS NOT NULL THEN CASE WHEN p.live THEN 'live' ELSE 'down' END WHEN s.node_id IS NOT NULL THEN CASE WHEN s.disk_pct < 60 THEN 'live' ELSE 'down' END ELSE 'unknown' END AS state FROM (SELECT DISTINCT peer FROM groups UNION SELECT 'n9') v LEFT JOIN (SELECT node AS peer, max_by(type <> 'error', (CAST(type <> 'error' AS INT), us)) AS live FROM event_log GROUP BY node) p USING (peer) LEFT JOIN " + LAST_STATS + " s ON s.node_id = v.peer")
 def _(t):
     voters = t.groups.select("peer").unionByName(rows(t, "('n9') AS v(peer)")).distinct()
     live = F.col("type") != "error"
@@ -213,7 +213,7 @@ def _(t):
     return free.groupBy("group_id").agg(F.min_by("node_id", F.struct("disk_pct", "node_id")).alias("replacement"))
 
 
-@query("jon21", "SELECT d.chunk, d.newest, CASE WHEN 120000 - d.newest > 60000 THEN 'stale' ELSE 'live' END AS kind FROM (SELECT chunk, max(t_zero) AS newest FROM tombstones GROUP BY chunk) d WHERE d.chunk NOT IN (SELECT chunk FROM chunk_refs WHERE manifest < 'm3')")
+@query("jon21", "SELECT d.chunk, d.newest, CASE WHEN 120000 - d.newest > 60000 THEN 'stale' ELSE 'live' END AS kind FROM (SELECT chunk, max(t_zero) AS newest FROM tombstones GROUP BY chunk) d WHERE d.chunk NOT IN (SELECT chunk FROM chunk_refs)")
 def _(t):
     newest = t.tombstones.groupBy("chunk").agg(F.max("t_zero").alias("newest"))
     return repair.orphans(newest, t.chunk_refs, "chunk").withColumn("kind", F.when(120000 - F.col("newest") > 60000, "stale").otherwise("live"))
@@ -300,7 +300,7 @@ def _(t):
     return every.groupBy("action").agg(F.count("*").alias("matches"), F.count_distinct("bucket", "key", "version_id").alias("n"))
 
 
-@query("gc01", "SELECT DISTINCT chunk, t_zero FROM tombstones t WHERE 120000 - t_zero > 3600 AND NOT EXISTS (SELECT 1 FROM chunk_refs r WHERE r.chunk = t.chunk AND r.manifest < 'm10')")
+@query("gc01", "SELECT DISTINCT chunk, t_zero FROM tombstones t WHERE 120000 - t_zero > 3600 AND NOT EXISTS (SELECT 1 FROM chunk_refs r WHERE r.chunk = t.chunk)")
 def _(t):
     return repair.gc_candidates(t.tombstones.distinct(), t.chunk_refs, 120_000, 3600)
 
@@ -320,7 +320,7 @@ def _(t):
 SEEN = "(SELECT DISTINCT us // 86400000000 AS cycle, concat('s', event_id % 331) AS key FROM event_log)"
 
 
-@query("gc04", f"SELECT cycle, key FROM (SELECT cycle, key, lag(cycle) OVER (PARTITION BY key ORDER BY cycle) AS b FROM {SEEN}) WHERE b = cycle - 1 AND key NOT IN (SELECT concat('s', event_id % 331) FROM event_log WHERE type = 'purchase' AND event_id % 5 = 0)")
+@query("gc04", f"SELECT cycle, key FROM (SELECT cycle, key, lag(cycle) OVER (PARTITION BY key ORDER BY cycle) AS b FROM {SEEN}) WHERE b = cycle - 1 AND key NOT IN (SELECT concat('s', event_id % 331) FROM event_log WHERE type = 'purchase')")
 def _(t):
     seen = t.event_log.select(F.floor(F.col("us") / 86400000000).alias("cycle"), F.concat(F.lit("s"), (F.col("event_id") % 331).cast("string")).alias("key")).distinct()
     known = t.event_log.where("type = 'purchase'").select(F.concat(F.lit("s"), (F.col("event_id") % 331).cast("string")).alias("key"))

@@ -127,7 +127,7 @@ def _(t):
     return lww.decide_write(lww.latest(t.meta, markers=True), c).select("bucket", "key", "cand_version", "verdict")
 
 
-@query("snk05", "SELECT type AS category, count(*) AS sent, greatest(count(*) - 8, 0) AS dropped FROM event_log WHERE type IN ('click', 'error') AND event_id < 500 GROUP BY type")
+@query("snk05", "SELECT type AS category, count(*) AS sent, greatest(count(*) - 8, 0) AS dropped FROM event_log WHERE type IN ('click', 'error') GROUP BY type")
 def _(t):
     return sinks.fan_out(t.event_log, ["click", "error"], 8)
 
@@ -175,7 +175,7 @@ def _(t):
     return lww.live_versions(t.meta).select(*ID, "is_delete_marker")
 
 
-@query("flt05", "SELECT l.bucket, l.key, l.version_id, r.id FROM live l JOIN rules r USING (bucket) WHERE starts_with(l.key, r.prefix) AND (r.tag IS NULL OR l.tag = r.tag) AND (r.size_gt IS NULL OR l.size > r.size_gt) AND (r.size_lt IS NULL OR l.size < r.size_lt)")
+@query("flt05", "SELECT l.bucket, l.key, l.version_id, r.id FROM live l JOIN rules r USING (bucket) WHERE starts_with(l.key, r.prefix) AND (r.tag IS NULL OR list_has_all(string_split(l.tag, ';'), string_split(r.tag, ';'))) AND (r.size_gt IS NULL OR l.size > r.size_gt) AND (r.size_lt IS NULL OR l.size < r.size_lt)")
 def _(t):
     from ..operators import lifecycle
 
@@ -250,7 +250,7 @@ def _(t):
     return policy.tag_verdict(rows(t, f"{TAGS} AS t(id, k, v)"))
 
 
-@query("flt16", "SELECT bucket, id, CASE WHEN status NOT IN ('Enabled', 'Disabled') THEN 'bad status' WHEN coalesce(exp_days, nc_days, nc_newer, abort_days) IS NULL AND NOT exp_marker THEN 'no action' WHEN exp_days IS NOT NULL AND exp_marker THEN 'days and marker' WHEN size_gt >= size_lt THEN 'empty size range' WHEN abort_days IS NOT NULL AND (tag IS NOT NULL OR size_gt IS NOT NULL) THEN 'abort with tag or size' END AS error FROM rules")
+@query("flt16", "SELECT bucket, id, CASE WHEN id = '' THEN 'no id' WHEN count(*) OVER (PARTITION BY bucket, id) > 1 THEN 'duplicate id' WHEN status NOT IN ('Enabled', 'Disabled') THEN 'bad status' WHEN coalesce(exp_days, exp_date, nc_days, nc_newer, abort_days) IS NULL AND NOT exp_marker THEN 'no action' WHEN exp_days < 0 THEN 'bad days' WHEN exp_days IS NOT NULL AND exp_date IS NOT NULL THEN 'days and date' WHEN coalesce(exp_days, exp_date) IS NOT NULL AND exp_marker THEN 'marker with days or date' WHEN exp_date % 86400 <> 0 THEN 'date is no midnight' WHEN regexp_matches(lower(tag), '(^|;)aws:') THEN 'reserved tag' WHEN size_gt >= size_lt THEN 'empty size range' WHEN abort_days IS NOT NULL AND (tag IS NOT NULL OR size_gt IS NOT NULL) THEN 'abort with tag or size' WHEN abort_days <= 0 THEN 'bad abort days' END AS error FROM rules")
 def _(t):
     from ..operators import lifecycle
 

@@ -22,7 +22,7 @@ VIEWS = {
                (l_linestatus = 'F' AND l_linenumber = 1) AS is_delete_marker, (n = 1 AND l_orderkey % 49 = 0) AS is_hard_deleted,
                CAST(l_linenumber % 4 AS INT) AS acl, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 4 END AS ec_data,
                CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 2 END AS ec_parity, concat('g', CAST(l_partkey % 5 AS STRING)) AS group_id,
-               CASE WHEN l_suppkey % 2 = 0 THEN 'hot' ELSE 'cold' END AS tag
+               concat('class=', CASE WHEN l_suppkey % 2 = 0 THEN 'hot' ELSE 'cold' END, ';half=', CAST(l_linenumber % 2 AS STRING)) AS tag
         FROM lineitem CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) copies WHERE n = 0 OR l_orderkey % 7 = 0""",
     "event_log": """
         SELECT event_id, EPOCH_US(ts) AS us, EPOCH_US(ts) * 1000 AS ts_ns, user_id, event_type AS type, value,
@@ -40,15 +40,20 @@ VIEWS = {
         SELECT CAST(l_orderkey AS STRING) AS upload_id, l_linenumber AS part_number, CAST(l_quantity AS BIGINT) * 1048576 AS size,
                md5(concat(CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING))) AS etag FROM lineitem""",
     "chunk_refs": """
-        SELECT concat('m', CAST(l_orderkey AS STRING)) AS manifest, concat('k', CAST(l_partkey % 1999 AS STRING)) AS chunk FROM lineitem""",
+        SELECT concat('m', CAST(l_orderkey AS STRING)) AS manifest, concat('k', CAST(l_partkey - l_partkey % 3 AS STRING)) AS chunk FROM lineitem""",
     "tombstones": """
         SELECT concat('k', CAST(p_partkey AS STRING)) AS chunk, p_partkey * 60 AS t_zero FROM part""",
     "rules": """
-        SELECT * FROM (VALUES ('A', 0, 'r-days', 'Enabled', '000', CAST(NULL AS STRING), CAST(10 AS BIGINT), CAST(NULL AS BIGINT), 30, false, CAST(NULL AS INT), CAST(NULL AS INT), 7),
-            ('A', 1, 'r-tag', 'Enabled', '', 'hot', NULL, 40, 365, false, 90, 2, NULL), ('R', 0, 'r-off', 'Disabled', '', NULL, NULL, NULL, 1, false, 1, 0, 1),
-            ('R', 1, 'r-nc', 'Enabled', '', NULL, NULL, NULL, NULL, true, NULL, 3, NULL), ('N', 0, 'r-both', 'Enabled', '0000', 'cold', 5, 45, 3650, true, 400, 1, 30),
-            ('F', 0, 'r-mpu', 'Enabled', '000', NULL, NULL, NULL, NULL, false, NULL, NULL, 10), ('F', 1, 'r-mpu2', 'Enabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, 3), ('O', 0, 'r-mpu3', 'Enabled', '00001', NULL, NULL, NULL, NULL, false, NULL, NULL, 5))
-            AS r(bucket, pos, id, status, prefix, tag, size_gt, size_lt, exp_days, exp_marker, nc_days, nc_newer, abort_days)""",
+        SELECT * FROM (VALUES ('A', 0, 'r-days', 'Enabled', '000', CAST(NULL AS STRING), CAST(10 AS BIGINT), CAST(NULL AS BIGINT), 30, false, CAST(NULL AS INT), CAST(NULL AS INT), 7, CAST(NULL AS BIGINT)),
+            ('A', 1, 'r-tag', 'Enabled', '', 'class=hot', NULL, 40, 365, false, 90, 2, NULL, NULL), ('R', 0, 'r-off', 'Disabled', '', NULL, NULL, NULL, 1, false, 1, 0, 1, NULL),
+            ('R', 1, 'r-nc', 'Enabled', '', NULL, NULL, NULL, NULL, true, NULL, 3, NULL, NULL), ('N', 0, 'r-both', 'Enabled', '0000', 'class=cold;half=1', 5, 45, 3650, false, 400, 1, 30, NULL),
+            ('F', 0, 'r-mpu', 'Enabled', '000', NULL, NULL, NULL, NULL, false, NULL, NULL, 10, NULL), ('F', 1, 'r-mpu2', 'Enabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, 3, NULL), ('O', 0, 'r-mpu3', 'Enabled', '00001', NULL, NULL, NULL, NULL, false, NULL, NULL, 5, NULL),
+            ('N', 1, 'r-date', 'Enabled', '000', 'half=0', NULL, NULL, NULL, false, NULL, NULL, NULL, 946684800), ('N', 2, 'r-later', 'Enabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, NULL, 1893456000),
+            ('N', 3, 'r-gone', 'Enabled', '0000', 'class=hot', NULL, NULL, NULL, true, NULL, NULL, NULL, NULL), ('O', 1, 'r-twice', 'Disabled', '', NULL, NULL, NULL, 1, false, NULL, NULL, NULL, NULL),
+            ('O', 2, 'r-twice', 'Disabled', '', NULL, NULL, NULL, 1, false, NULL, NULL, NULL, NULL), ('O', 3, 'r-both', 'Disabled', '', NULL, NULL, NULL, 1, false, NULL, NULL, NULL, 946684800),
+            ('O', 4, 'r-noon', 'Disabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, NULL, 946728000), ('O', 5, 'r-aws', 'Disabled', '', 'a=1;AWS:b=2', NULL, NULL, 1, false, NULL, NULL, NULL, NULL),
+            ('O', 6, 'r-marker', 'Disabled', '', NULL, NULL, NULL, 5, true, NULL, NULL, NULL, NULL), ('O', 7, 'r-none', 'Disabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, NULL, NULL), ('O', 8, 'r-abort', 'Disabled', '', NULL, NULL, NULL, NULL, false, NULL, NULL, 0, NULL))
+            AS r(bucket, pos, id, status, prefix, tag, size_gt, size_lt, exp_days, exp_marker, nc_days, nc_newer, abort_days, exp_date)""",
     "groups": """
         SELECT * FROM (VALUES ('g0', 'n0'), ('g0', 'n1'), ('g0', 'n2'), ('g1', 'n1'), ('g1', 'n2'), ('g1', 'n3'), ('g1', 'n4'), ('g2', 'n0'), ('g2', 'n5'), ('g3', 'n2'), ('g3', 'n3'), ('g3', 'n6'), ('g3', 'n7'), ('g4', 'n4'))
             AS g(group_id, peer)""",
@@ -72,7 +77,7 @@ VIEWS = {
     "facts": """
         SELECT cid, event_id AS seq, us, CASE event_id % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'diagnosed' WHEN 2 THEN 'action_started' WHEN 3 THEN 'verified' WHEN 4 THEN 'action_failed' ELSE 'isolated' END AS type,
                CASE user_id % 3 WHEN 0 THEN 'missing_shard' WHEN 1 THEN 'corrupt_shard' ELSE '' END AS cause, CASE WHEN event_id % 4 = 0 THEN 'isolate_object' ELSE 'repair' END AS action,
-               CASE WHEN event_id % 5 = 0 THEN 'insufficient_survivors' ELSE '' END AS code, concat('r', CAST(event_id AS STRING)) AS receipt_id FROM event_log WHERE event_id % 10 < 4""",
+               CASE WHEN event_id % 5 = 0 THEN 'insufficient_survivors' ELSE '' END AS code, concat('r', CAST(event_id AS STRING)) AS receipt_id FROM event_log""",
     "versions": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key, version_id ORDER BY mod_time DESC, meta_seq DESC, is_hard_deleted DESC) AS rn FROM meta) v WHERE rn = 1""",
     "live": "SELECT * FROM versions WHERE NOT is_hard_deleted",
