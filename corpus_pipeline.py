@@ -1,6 +1,9 @@
 """A training-text pipeline: documents in, cleaned and encoded documents out.
 
-Each stage works on all that its predecessor kept. ORACLE_SQL is None: surrogates and BPE ids can't be
+Each stage works on all that its predecessor kept. In every stage null and empty texts have no words (the quality
+rules reject them), null ids are ordinary rows that are no copies of others, rows that repeat are treated alike, and
+of rows equal in id and text near-dedup keeps one; very long texts are read whole, ties fall to the smallest doc_id, an
+empty table gives an empty table, and columns other than those of documents don't pass. ORACLE_SQL is None: surrogates and BPE ids can't be
 expressed in SQL; tests/llm/test_pipeline.py checks run() against a brute-force version.
 """
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeplane.llm import decontam, quality, setsketch, surrogates, trie_bpe
 from lodeplane.llm.common import cut, read_table
-from lodeplane.llm.queries import tokenizer_path
+from lodeplane.llm.queries import surrogate_key, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; n_chars follows the text."""
-    out = surrogates.replace(docs)
+    out = surrogates.replace(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

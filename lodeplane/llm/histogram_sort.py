@@ -5,9 +5,12 @@ id. Documents with equal texts are therefore neighbours in key order. The splitt
 shards are found by counting, without moving a document: the key range is cut into 1024 equal
 probes, exact bytes and rows below each probe are summed across partitions, and every probe
 that holds a splitter target or too many rows is cut into 1024 again, until the nearest probe
-boundary is within the tolerance and no probe has more rows than one task should sort. Only the
-counts of probes reach the driver: their number is bounded by the number of splits, each of
-which had to hold a splitter or more than max_rows rows. Then the documents are exchanged once.
+boundary is within the tolerance. Only the counts of probes reach the driver, 1024 for each splitter and level at most,
+however many rows or partitions there are. Then the documents are exchanged once, by cells.
+
+Cells are equal ranges of the first key bits, some four for each shuffle partition, and end at splitters; a cell with
+too many rows for a task, which copies of one text make, is cut by all other text bits and bits of the id. Their counts and
+first slots are tables that never reach the driver.
 
 Law: `bytes`, sizes near equal. Equal texts stay in one shard wherever the tolerance allows;
 a group of copies too large for that is cut by the id part of the key.
@@ -46,13 +49,17 @@ class Probes:
     def __init__(self) -> None:
         self.paths: list[tuple[int, ...]] = [()]
         self.child: dict[tuple[int, int], int] = {}
-        self.counts: dict[tuple[int, int], tuple[int, int]] = {}
+        self.counts: dict[tuple[int, int], int] = {}
 
     def refine(self, node: int, digit: int) -> int:
         self.child[node, digit] = len(self.paths)
         self.paths.append((*self.paths[node], digit))
         return len(self.paths) - 1
 
+    def first_key(self, node: int, digit: int) -> int:
+        path = (*self.paths[node], digit)
+        return sum(d << (TEXT_BITS + ID_BITS - DIGIT * (k + 1)) for k, d in enumerate(path))
+
     def leaves(self, node: int = 0):
         """(node, digit) of the probes that hold rows and aren't refined, in key order."""
         for digit in range(FAN):
@@ -74,59 +81,76 @@ class Probes:
 
 
 def _count(digests: DataFrame, probes: Probes, fresh: list[int]) -> None:
-    for r in digests.withColumn("cell", probes.cell(F.col("key"))).where(F.shiftright("cell", DIGIT).isin(fresh)).groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
-        probes.counts[divmod(r["cell"], FAN)] = (r["b"], r["n"])
+    for r in digests.withColumn("cell", probes.cell(F.col("key"))).where(F.shiftright("cell", DIGIT).isin(fresh)).groupBy("cell").agg(F.sum("size").alias("b")).collect():
+        probes.counts[divmod(r["cell"], FAN)] = r["b"]
 
 
-def find_splitters(digests: DataFrame, n_shards: int, tolerance: float, max_rows: int) -> tuple[Probes, list[tuple[int, int, int, int]]]:
-    """The probes, and (cell, shard, first slot, rows) for each of them. digests has key and size."""
+def find_splitters(digests: DataFrame, n_shards: int, tolerance: float) -> list[int]:
+    """The first keys of all shards but the first, ascending. digests has key and size."""
     probes, fresh = Probes(), [0]
     while True:
         _count(digests, probes, fresh)
         leaves = list(probes.leaves())
-        total = sum(probes.counts[x][0] for x in leaves)
+        total = sum(probes.counts[x] for x in leaves)
         ends, split = [], set()
         below, k = 0, 1
         for i, x in enumerate(leaves):
-            b, n = probes.counts[x]
+            b = probes.counts[x]
             while k < n_shards and below + b >= (target := total * k / n_shards):
                 low, high = target - below, below + b - target
                 ends.append(i if low < high else i + 1)
                 if min(low, high) > tolerance * total / n_shards:
                     split.add(x)
                 k += 1
-            if n > max_rows:
-                split.add(x)
             below += b
         fresh = [probes.refine(*x) for x in sorted(split) if len(probes.paths[x[0]]) + 1 < LEVELS]
         if not fresh:
             break
         for x in split:
             probes.counts.pop(x) if x in probes.child else None
-    shard, slot, placed = 0, 0, []
-    for i, (node, digit) in enumerate(leaves):
-        while shard < len(ends) and ends[shard] <= i:
-            shard, slot = shard + 1, 0
-        n = probes.counts[node, digit][1]
-        placed.append((node * FAN + digit, shard, slot, n))
-        slot += n
-    return probes, placed
+    return [probes.first_key(*leaves[e]) if e < len(leaves) else 1 << (TEXT_BITS + ID_BITS) for e in ends]
+
+
+def _placed(keyed: DataFrame, n_cells: int, max_rows: int) -> DataFrame:
+    """_shard, _cell, _sub, _first (slot) and whether _cut, of all cells of keyed (_key, _shard): every cell that is no more than max_rows rows
+    is one row with _sub 0; others have a row for each text and id bits."""
+    plain = cut(keyed.groupBy("_shard", _cell(n_cells).alias("_cell")).count(), "cells")
+    before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    plain = plain.withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")))
+    full = cut(plain.where(F.col("count") > max_rows).select("_shard", "_cell", "_first"), "full-cells")
+    parts = keyed.withColumn("_cell", _cell(n_cells)).join(full.select("_shard", "_cell"), ["_shard", "_cell"]).groupBy("_shard", "_cell", _sub().alias("_sub")).count()
+    inner = Window.partitionBy("_shard", "_cell").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.join(full, ["_shard", "_cell"]).withColumn("_first", F.col("_first") + F.coalesce(F.sum("count").over(inner), F.lit(0)))
+    whole = plain.where(F.col("count") <= max_rows).withColumn("_sub", F.lit(0).cast("long"))
+    return whole.select("_shard", "_cell", "_sub", "_first", F.lit(False).alias("_cut")).unionByName(parts.select("_shard", "_cell", "_sub", "_first", F.lit(True).alias("_cut")))
+
+
+def _cell(n_cells: int) -> Column:
+    return F.shiftright("_key", TEXT_BITS + ID_BITS - n_cells.bit_length())
+
+
+def _sub() -> Column:
+    """The text bits and the first ten id bits of a key, from 1."""
+    return F.shiftright("_key", ID_BITS - DIGIT) + 1
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005, max_rows: int | None = None) -> DataFrame:
     """docs with size, text_crc32, shard and slot (gapless from 0 in key order within each shard).
 
-    Sizes differ from the mean by about the tolerance, or by one document where that is larger.
-    The exchange is one hash exchange by probe; a probe has at most max_rows rows
-    (a quarter of an even share of each shuffle partition where it is not given), but for copies of
-    one row that share id and text."""
-    placed_by = docs.withColumns({"_key": sort_key(), "size": (F.octet_length(text()) + 1).cast("long"), "text_crc32": F.crc32(text())})
-    digests = cut(placed_by.select(F.col("_key").alias("key"), "size"), "shard-keys")
-    max_rows = max_rows or digests.count() // (4 * fill_parts(docs.sparkSession)) + 1
-    probes, placed = find_splitters(digests, n_shards, tolerance, max_rows)
-    if not placed:
-        return placed_by.drop("_key").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    starts = F.create_map(*[x for cell, shard, slot, _ in placed for x in (F.lit(cell), F.struct(F.lit(shard).alias("shard"), F.lit(slot).cast("long").alias("slot")))])
-    order = Window.partitionBy("_cell").orderBy("_key", "doc_id")
-    out = placed_by.withColumn("_cell", probes.cell(F.col("_key"))).withColumn("_rank", F.row_number().over(order) - 1)
-    return out.withColumn("_at", F.element_at(starts, F.col("_cell"))).withColumns({"shard": F.col("_at.shard"), "slot": F.col("_at.slot") + F.col("_rank")}).drop("_key", "_cell", "_rank", "_at")
+    Sizes differ from the mean by about the tolerance, or by one document where that is larger. The exchange is
+    one by cells; a cell has at most max_rows rows (a quarter of an even share of each shuffle partition where it
+    is not given), but for rows whose text and first ten id bits agree."""
+    rows = docs.withColumns({"_key": sort_key(), "size": (F.octet_length(text()) + 1).cast("long"), "text_crc32": F.crc32(text())})
+    digests = cut(rows.select(F.col("_key").alias("key"), "size"), "shard-keys")
+    n_cells = 4 * fill_parts(docs.sparkSession)
+    max_rows = max_rows or digests.count() // n_cells + 1
+    shard = lambda key: sum((F.when(key >= k, 1).otherwise(0) for k in splitters), F.lit(0))
+    splitters = find_splitters(digests, n_shards, tolerance)
+    places = cut(_placed(digests.select(F.col("key").alias("_key"), shard(F.col("key")).alias("_shard")), n_cells, 4 * max_rows), "places")
+    full = places.where("_cut").select("_shard", "_cell").distinct().withColumn("_full", F.lit(True))
+    celled = rows.withColumns({"_shard": shard(F.col("_key")), "_cell": _cell(n_cells)}).join(full, ["_shard", "_cell"], "left")
+    celled = celled.withColumn("_sub", F.when(F.col("_full"), _sub()).otherwise(F.lit(0)).cast("long")).drop("_full")
+    order = Window.partitionBy("_shard", "_cell", "_sub").orderBy("_key", "doc_id")
+    out = celled.withColumn("_rank", F.row_number().over(order) - 1).join(places.drop("_cut"), ["_shard", "_cell", "_sub"])
+    names = [F.col(c) for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    return out.select(*names, "size", "text_crc32", F.col("_shard").alias("shard"), (F.col("_first") + F.col("_rank")).alias("slot"))

@@ -29,6 +29,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of the session; without one, a public key by which surrogates can be recomputed."""
+    return spark.conf.get("spark.lodeplane.surrogateKey", "public-demonstration-key")
+
+
 def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = trie_bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -59,7 +64,7 @@ def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogates.replace(read_table(spark, sf_dir, "documents"))
+    out = surrogates.replace(read_table(spark, sf_dir, "documents"), surrogate_key(spark))
     return out.select("doc_id", "text", "n_entities")
 
 

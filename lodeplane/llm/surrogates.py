@@ -1,15 +1,18 @@
 """PII: detected entities get keyed surrogates of their own type and format.
 
-Types: e-mail addresses, IPv4 addresses, payment card numbers (13 to 19 digits that pass the Luhn
-check), telephone numbers with country code or area code (see PHONE), secrets of 32 or more hexadecimal
-digits, and names after a title. A surrogate keeps length, letter case, digit places and
-punctuation; cards pass the Luhn check and keep the first digit; names keep the gender that the
-title tells, the number of parts and the script (Latin, Greek or Cyrillic).
+Types: e-mail addresses, IPv4 and IPv6 addresses, payment card numbers (13 to 19 digits that pass the Luhn
+check, in one piece or in groups of 4-4-4-n or 4-6-5), bank accounts (IBAN that pass their check), social security
+numbers as written in the USA, telephone numbers with country code or area code (see PHONE), secrets of 32 to 64
+hexadecimal digits, access tokens with a known prefix, and names after a title. A surrogate keeps length, letter case, digit
+places and punctuation; cards pass the Luhn check and keep the first digit; accounts keep the country and pass
+their check; names keep the gender that the title tells, the number of parts and the script (Latin, Greek or Cyrillic).
+Not detected: names without a title, postal addresses, numbers in other forms than those.
 
 Coreference: one normalised entity has one surrogate in all documents, since it is a keyed hash
 of type and value. Distinctness: surrogates are compared over the whole corpus with each other
 and with all detected values; whoever loses a collision is drawn again with the next counter.
-The last word on ties is the smallest value, so results don't depend on the order of rows.
+The last word on ties is the smallest value, so results don't depend on the order of rows. Where values of a
+format run out, which takes most of its space, assign() raises ValueError after MAX_TURNS draws.
 
 Only documents that have entities take part in joins; the others pass through the scan.
 Entities of hot documents or hot values meet in shuffled joins, which Spark splits where skewed.
@@ -64,12 +67,21 @@ PHONE = (
     r"|(?<![\w.+\-/])(?=\(?(?:[ ()/\-]{0,3}\d){8})(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}(?: ?/ ?|[ \-]))\d{2,8}(?:[ \-]\d{2,4}){0,3}(?![\w\-/]|\.\d)"
     r"|(?<![\w.+\-/]|\d[ ,])[6-9]\d(?:\d[ \-]\d{3}[ \-]\d{3}|\d[ \-]\d\d[ \-]\d\d[ \-]\d\d|[ \-]\d{3}[ \-]\d\d[ \-]\d\d)(?![\w\-/]|[.,]\d| \d)"
 )
-CARD = r"(?<![\w.])(?:\d{4}[ \-]){3}\d{1,7}(?![\w])|(?<![\w.])\d{13,19}(?![\w])"
+CARD = r"(?<![\w.])(?:\d{4}[ \-]){3}\d{1,7}(?![\w])|(?<![\w.])\d{4}[ \-]\d{6}[ \-]\d{5}(?![\w])|(?<![\w.])\d{13,19}(?![\w])"
+IPV6 = (
+    r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,40}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"
+)
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
+# Prefixes by which access tokens are known.
+TOKEN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}[\p{L}'\-]{1,31}(?: \p{Lu}[\p{L}'\-]{1,31}){0,2}"
-ENTITY = f"{EMAIL}|{IPV4}|{SECRET}|{PHONE}|{CARD}|{NAME}"
+ENTITY = f"{EMAIL}|{IPV4}|{TOKEN}|{SECRET}|{SSN}|{PHONE}|{CARD}|{IBAN}|{IPV6}|{NAME}"
+MAX_TURNS = 60
 # What ENTITY matches, MAY_HAVE matches.
-MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|0\d[ .\-]\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|0\d[ .\-]\d|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]|[A-Z]{2}\d\d|AKIA|ASIA|gh[pousr]_|sk-|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -94,21 +106,35 @@ def _kind(v: Column) -> Column:
         F.when(v.contains("@"), "email")
         .when(v.rlike(f"^(?:{IPV4})$"), "ip")
         .when(v.rlike(r"^[0-9a-f]{32,64}$|^[0-9A-F]{32,64}$"), "secret")
+        .when(v.rlike(f"^(?:{SSN})$"), "ssn")
         .when(v.rlike(f"^(?:{PHONE})$"), "phone")
+        .when(v.rlike(f"^(?:{TOKEN})$"), "token")
+        .when(v.rlike(f"^(?:{IPV6})$"), "ip6")
+        .when(v.rlike(f"^(?:{IBAN})$"), F.when(let(_compact(v), lambda x: F.length(x).between(15, 34) & (_mod97(x) == 1)), "iban"))
         .when(v.rlike(r"^\d"), F.when(F.length(digits).between(13, 19) & luhn, "card"))
         .otherwise("name")
     )
 
 
+def _compact(v: Column) -> Column:
+    return F.replace(v, F.lit(" "), F.lit(""))
+
+
+def _mod97(account: Column) -> Column:
+    """The rest by 97 of an account number: its first four characters go last, letters count 10 to 35."""
+    moved = _chars(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4)))
+    return F.aggregate(moved, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
 def _normal(kind: Column, v: Column) -> Column:
-    """E-mail addresses and secrets are compared without case, numbers by their digits."""
-    return F.when(kind.isin("email", "secret"), F.lower(v)).when(kind.isin("phone", "card"), F.regexp_replace(v, r"[ .()/\-]+", "")).otherwise(v)
+    """E-mail addresses, IPv6 addresses and secrets are compared without case, numbers by their digits, accounts without blanks."""
+    return F.when(kind.isin("email", "secret", "ip6"), F.lower(v)).when(kind == "iban", _compact(v)).when(kind.isin("phone", "card"), F.regexp_replace(v, r"[ .()/\-]+", "")).otherwise(v)
 
 
 def _shaped(v: Column, h: Column) -> Column:
     """v with each letter and digit replaced by the hash, at its place; hexadecimal digits h are 128."""
     digits, low = F.translate(h, "abcdef", "024681"), F.translate(h, "0123456789abcdef", "bcdfghjklmnpqrst")
-    at = lambda s, i: F.substring(s, i + 1, F.lit(1))
+    at = lambda s, i: F.substring(s, i % 128 + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
         return F.when(c.rlike("[0-9]"), at(digits, i)).when(c.rlike("[a-z]"), at(low, i)).when(c.rlike("[A-Z]"), F.upper(at(low, i))).otherwise(c)
@@ -124,7 +150,13 @@ def _surrogate(kind: Column, v: Column, h: Column, turn: int) -> Column:
     hexes = F.substring(h, F.lit(1), F.length(v))
     body = F.concat(F.substring(v, 1, 1), F.substring(F.translate(h, "abcdef", "024681"), F.lit(2), F.length(v) - 2))
     card = F.concat(body, ((10 - let(_chars(F.concat(body, F.lit("0"))), _luhn_sum) % 10) % 10).cast("string"))
-    phone = F.concat(F.substring(v, 1, 2), F.substring(_shaped(v, h), F.lit(3), F.length(v)))
+    fixed = 2 if turn < 8 else 1
+    phone = F.concat(F.substring(v, 1, fixed), F.substring(_shaped(v, h), F.lit(fixed + 1), F.length(v)))
+    ip6 = F.array_join(F.transform(_chars(v), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i + 1, F.lit(1)))), "")
+    prefix = F.regexp_extract(v, "^(?:AKIA|ASIA|gh._|sk-)", 0)
+    token = F.concat(prefix, F.substring(_shaped(v, h), F.length(prefix) + 1, F.length(v)))
+    bare = F.concat(F.substring(v, 1, 2), F.lit("00"), F.substring(_shaped(v, h), F.lit(5), F.length(v)))
+    iban = let(bare, lambda b: F.concat(F.substring(b, 1, 2), F.lpad((98 - _mod97(b)).cast("string"), 2, "0"), F.substring(b, F.lit(5), F.length(b))))
     title = F.rtrim(F.regexp_extract(v, r"^(\S+?\.?) ", 1))
     sex = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv]), F.regexp_replace(title, r"\.$", "")), F.lit("n"))
     parts = F.slice(F.split(v, " "), 2, 8)
@@ -135,20 +167,20 @@ def _surrogate(kind: Column, v: Column, h: Column, turn: int) -> Column:
     last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 + min(turn, 50))), lambda k: F.element_at(F.element_at(parts_of, script), (F.conv(F.substring(h, k + 10, F.lit(1)), 16, 10).cast("int") + 1))), ""))
     middle = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.element_at(F.element_at(parts_of, script), (F.conv(F.substring(h, k + 20, F.lit(1)), 16, 10).cast("int") + 1))), ""))
     name = F.when(F.size(parts) == 1, F.concat_ws(" ", title, last)).when(F.size(parts) == 2, F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, first, middle, last))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _shaped(v, h)).when(kind == "token", token).when(kind == "ip6", ip6).when(kind == "iban", iban).otherwise(name)
 
 
 def _dressed(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate of the normalised value in the punctuation and case of the raw one."""
-    digits = F.regexp_replace(surrogate, r"\D+", "")
+    digits = F.when(kind == "iban", surrogate).otherwise(F.regexp_replace(surrogate, r"\D+", ""))
 
     def numbered(chars: Column) -> Column:
-        isnum = lambda c: F.when(c.rlike(r"\d"), 1).otherwise(0)
-        steps = F.transform(chars, lambda c, i: F.when(c.rlike(r"\d"), F.substring(digits, F.aggregate(F.slice(chars, F.lit(1), i + 1), F.lit(0), lambda a, x: a + isnum(x)), F.lit(1))).otherwise(c))
+        isnum = lambda c: F.when(c.rlike("[0-9A-Z]"), 1).otherwise(0)
+        steps = F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(digits, F.aggregate(F.slice(chars, F.lit(1), i + 1), F.lit(0), lambda a, x: a + isnum(x)), F.lit(1))).otherwise(c))
         return F.array_join(steps, "")
 
     cased = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card"), let(_chars(raw), numbered)).when(kind == "secret", cased).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "iban"), let(_chars(raw), numbered)).when(kind.isin("secret", "ip6"), cased).otherwise(surrogate)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -175,11 +207,15 @@ def assign(found: DataFrame, key: str) -> DataFrame:
         rest = cut(todo.join(won, ["kind", "value"], "left_anti"), "collided")
         if rest.isEmpty():
             return done
+        if turn == MAX_TURNS:
+            raise ValueError("no surrogates left for some values: their formats are used up")
         todo, turn = rest, turn + 1
 
 
-def replace(docs: DataFrame, key: str = "change-me") -> DataFrame:
-    """docs with every detected entity in text replaced; adds n_entities."""
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """docs with every detected entity in text replaced; adds n_entities. Whoever has the key can draw the same surrogates."""
+    if not key:
+        raise ValueError("surrogates need a key")
     raws = F.regexp_extract_all(text(), F.lit(f"({ENTITY})"), 1)
     kinds = assign(cut(entities(docs), "entities"), key)
     may = F.coalesce(F.col("text").rlike(MAY_HAVE), F.lit(False))

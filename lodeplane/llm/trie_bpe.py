@@ -214,7 +214,7 @@ class TrieBpe:
         return "chunks", text.replace(" ", "\0 ").split("\0")
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[("special", [s]) if s in self.special else self._pieces(s) for s in (self.cut.split(t) if self.cut and "<" in t else [t]) if s] for t in texts]
+        cut = [[("special", [s]) if s in self.special else self._pieces(s) for s in (self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t]) if s] for t in texts]
         chunks = {c for parts in cut for kind, p in parts if kind == "chunks" for c in p}
         atoms = {w for parts in cut for kind, p in parts if kind == "atoms" for w in p}
         fresh = {c: chunk_words(c) for c in self.chunks.missing(chunks)}
@@ -273,6 +273,7 @@ def sliced(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]
 
 def mapped(df: DataFrame, column: str, field: T.StructField, kind: pa.DataType, make: Callable[[list], pa.Array], drop: bool = False) -> DataFrame:
     """df with one more column, made by make() from lists of texts, in Arrow batches."""
+    df = df.drop(field.name) if field.name != column else df
     schema = T.StructType([f for f in df.schema.fields if not (drop and f.name == column)] + [field])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +301,7 @@ def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", drop: boo
 def decode(df: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFrame:
     """df with decoded, the text of the ids in column."""
     blob = df.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
+    df = df.drop("decoded")
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +319,7 @@ def decode(df: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFrame
 def round_trip(docs: DataFrame, tokenizer_path: str, column: str = "text") -> DataFrame:
     """docs without column, with ids and decoded: encode and decode in one pass and one worker."""
     blob = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
-    rest = [f for f in docs.schema.fields if f.name != column]
+    rest = [f for f in docs.schema.fields if f.name not in (column, "ids", "decoded")]
     schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +332,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, column: str = "text") -> Da
                 decoded = pa.array([decode_ids(bpe.bytes_of, i.tolist()) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*kept.slice(start, len(ids)).columns, _lists(ids), decoded], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[f.name for f in rest], column).mapInArrow(run, schema)

@@ -43,6 +43,22 @@ def test_a_group_too_large_for_a_shard_is_cut(spark):
     assert len(by) == 8 and by.max() / by.mean() < 1.1
 
 
+def test_shards_of_many_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, "the same for all" if i % 3 == 0 else prose(rng, rng.randrange(1, 9)), "en", "s", 1) for i in range(6000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        out = histogram_sort.shard_documents(frame(spark, rows).drop("shard"), 8).withColumn("k", histogram_sort.sort_key()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(out) == 6000 and out["doc_id"].nunique() == 6000
+    by = out.groupby("shard")["size"].sum()
+    assert len(by) == 8 and by.max() / by.mean() < 1.02 and by.min() / by.mean() > 0.98
+    whole = out.sort_values(["k", "doc_id"])
+    assert whole["shard"].is_monotonic_increasing
+    assert (whole.groupby("shard").cumcount() == whole["slot"]).all()
+
+
 def test_shards_of_awkward_rows(spark):
     out = histogram_sort.shard_documents(frame(spark), 3).toPandas()
     assert len(out) == len(documents())
@@ -68,6 +84,13 @@ def test_bpe_equals_the_library(spark):
     assert trie_bpe.encode(empty(spark), path).count() == 0
 
 
+def test_columns_that_clash_are_replaced(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "some text", "x", 5)], "doc_id long, text string, decoded string, ids int")
+    (both,), (one,) = trie_bpe.round_trip(df, path).collect(), trie_bpe.decode(trie_bpe.encode(df, path), path).collect()
+    assert both["decoded"] == one["decoded"] == "some text" and both["ids"] == one["ids"] and len(both["ids"]) == 2
+
+
 def test_trie_agrees_with_plain_merging():
     bpe = trie_bpe.TrieBpe(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
     rng = random.Random(2)
@@ -434,7 +457,7 @@ def test_surrogates(spark):
     two = next(r["text"] for r in out if r["doc_id"] == 2)
     assert two.startswith(f"call {name[6]} or ") and re.sub(r"\D", "", two[5:].split(" or ")[1]) == re.sub(r"\D", "", name[6])
     assert next(r for r in out if r["doc_id"] == 3)["n_entities"] == 0
-    assert surrogates.replace(empty(spark)).count() == 0 and surrogates.replace(frame(spark)).count() == len(documents())
+    assert surrogates.replace(empty(spark), "k").count() == 0 and surrogates.replace(frame(spark), "k").count() == len(documents())
 
 
 def made_like(rng, kind):
@@ -485,9 +508,58 @@ def test_usual_telephone_numbers_are_replaced_whole(spark):
     assert [out[100 + i] for i in range(len(NO_PHONES))] == [(f"see {v} here", 0) for v in NO_PHONES]
 
 
+def rest_by_97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def other_entities(rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkXYZ0123456789") for _ in range(n))
+    while True:
+        card = "37" + digits(13)
+        if sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(card))) % 10 == 0:
+            break
+    body = letters(4) + digits(14)
+    bare = "GB" + f"{98 - rest_by_97('GB00' + body):02d}" + body
+    yield "card", f"{card[:4]} {card[4:10]} {card[10:]}"
+    yield "ssn", f"{digits(3)}-{digits(2)}-{digits(4)}"
+    yield "iban", rng.choice([bare, " ".join(bare[k : k + 4] for k in range(0, len(bare), 4))])
+    yield "ip6", rng.choice([":".join(f"{rng.randrange(16**4):x}" for _ in range(7)) + ":1", "fe80::" + digits(2), "2001:db8::8a2e:" + digits(3), "::1"])
+    yield "token", rng.choice(["AKIA" + letters(16), "ghp_" + mixed(36), "sk-" + mixed(150)])
+
+
+def test_accounts_tokens_and_addresses_are_replaced_in_their_form(spark):
+    rng = random.Random(31)
+    made = [x for _ in range(60) for x in other_entities(rng)]
+    seen = spark.createDataFrame(made, "kind string, v string").select("*", F.col("v").rlike(surrogates.MAY_HAVE).alias("may"), surrogates._kind(F.col("v")).alias("got")).collect()
+    assert [(r["v"], r["got"]) for r in seen if not r["may"] or r["got"] != r["kind"]] == []
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(frame(spark, [(i, f"it is {v} now", "en", "s", 0) for i, (_, v) in enumerate(made)]), "k").collect()}
+    shape = lambda t, classes: "".join(next((c for c in classes if re.fullmatch(c, x)), x) for x in t)
+    first = {}
+    for i, (kind, v) in enumerate(made):
+        new = out[i].removeprefix("it is ").removesuffix(" now")
+        classes = ["[0-9a-f]"] if kind == "ip6" else ["[0-9]", "[a-z]", "[A-Z]"]
+        assert shape(new, classes) == shape(v, classes) and (new != v or kind == "ip6")
+        if kind == "iban":
+            assert new[:2] == "GB" and rest_by_97(new.replace(" ", "")) == 1
+            assert first.setdefault(v.replace(" ", ""), new.replace(" ", "")) == new.replace(" ", "")
+    plain = "see std::map or 12:30:45, AB12 CDEF no account, key sk-short"
+    kept = surrogates.replace(frame(spark, [(1, plain, "en", "s", 0)]), "k").collect()[0]
+    assert (kept["text"], kept["n_entities"]) == (plain, 0)
+
+
+def test_a_key_is_needed_and_formats_run_out(spark):
+    with pytest.raises(ValueError):
+        surrogates.replace(frame(spark), "")
+    few = spark.createDataFrame([("card", f"{i:02d}") for i in range(100)], "kind string, value string")
+    with pytest.raises(ValueError):
+        surrogates.assign(few, "k")
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"+1 (200) 555-{i:04d} u{i}@x.org", "en", "s", 1) for i in range(600)]
-    texts = [r["text"] for r in surrogates.replace(frame(spark, rows)).collect()]
+    texts = [r["text"] for r in surrogates.replace(frame(spark, rows), "k").collect()]
     assert len({t.split(" u")[0].rsplit(" ", 1)[0] for t in texts}) == 600 and len({t.rsplit(" ", 1)[1] for t in texts}) == 600
 
 
