@@ -4,7 +4,7 @@ Types: e-mail addresses, IPv4 and IPv6 addresses, payment card numbers (13 to 19
 check, in one piece or in groups of 4-4-4-n or 4-6-5), bank accounts (IBAN that pass their check), social security
 numbers as written in the USA, telephone numbers with country code or area code (see PHONE), secrets of 32 to 64
 hexadecimal digits, access tokens with a known prefix, and names after a title. A surrogate keeps length, letter case, digit
-places and punctuation; cards pass the Luhn check and keep the first digit; accounts keep the country and pass
+places and punctuation (but for short IPv6 addresses whose form is used up); cards pass the Luhn check and keep the first digit; accounts keep the country and pass
 their check; names keep the gender that the title tells, the number of parts and the script (Latin, Greek or Cyrillic).
 Not detected: names without a title, postal addresses, numbers in other forms than those.
 
@@ -153,6 +153,8 @@ def _surrogate(kind: Column, v: Column, h: Column, turn: int) -> Column:
     fixed = 2 if turn < 8 else 1
     phone = F.concat(F.substring(v, 1, fixed), F.substring(_shaped(v, h), F.lit(fixed + 1), F.length(v)))
     ip6 = F.array_join(F.transform(_chars(v), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i + 1, F.lit(1)))), "")
+    if turn > 2:  # short forms such as ::1 have few others
+        ip6 = F.concat_ws(":", F.lit("fd00"), *[F.substring(h, 4 * k + 1, 4) for k in range(7)])
     prefix = F.regexp_extract(v, "^(?:AKIA|ASIA|gh._|sk-)", 0)
     token = F.concat(prefix, F.substring(_shaped(v, h), F.length(prefix) + 1, F.length(v)))
     bare = F.concat(F.substring(v, 1, 2), F.lit("00"), F.substring(_shaped(v, h), F.lit(5), F.length(v)))
@@ -179,7 +181,7 @@ def _dressed(kind: Column, raw: Column, surrogate: Column) -> Column:
         steps = F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(digits, F.aggregate(F.slice(chars, F.lit(1), i + 1), F.lit(0), lambda a, x: a + isnum(x)), F.lit(1))).otherwise(c))
         return F.array_join(steps, "")
 
-    cased = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
+    cased = F.when((raw == F.upper(raw)) & raw.rlike("[A-Z]"), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "iban"), let(_chars(raw), numbered)).when(kind.isin("secret", "ip6"), cased).otherwise(surrogate)
 
 

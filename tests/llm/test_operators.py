@@ -540,7 +540,8 @@ def test_accounts_tokens_and_addresses_are_replaced_in_their_form(spark):
     for i, (kind, v) in enumerate(made):
         new = out[i].removeprefix("it is ").removesuffix(" now")
         classes = ["[0-9a-f]"] if kind == "ip6" else ["[0-9]", "[a-z]", "[A-Z]"]
-        assert shape(new, classes) == shape(v, classes) and (new != v or kind == "ip6")
+        assert shape(new, classes) == shape(v, classes) or (kind == "ip6" and new.startswith("fd00:") and new.count(":") == 7)
+        assert new != v
         if kind == "iban":
             assert new[:2] == "GB" and rest_by_97(new.replace(" ", "")) == 1
             assert first.setdefault(v.replace(" ", ""), new.replace(" ", "")) == new.replace(" ", "")
