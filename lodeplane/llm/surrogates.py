@@ -53,14 +53,16 @@ SYLLABLES = {
     "cyrillic": ["ба", "дел", "фи", "гор", "кан", "ли", "мар", "но", "пел", "рин", "сто", "тур", "ван", "жел", "зо", "ша"],
 }
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,254}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 # With country code: 7 digits or more, in groups of up to four after the code. With area code: as written in
 # North America, with the trunk zero of France and Germany, or nine digits from 6 to 9 as in Spain.
-PHONE = (
+PLUS_PHONE = (
     r"\+(?=(?:[ .()/\-]{0,3}\d){7})\d{1,3}[ .\-]?\(?\d{1,4}\)?(?: ?/ ?\d{1,4}|[ .\-]?\d{1,4}){2,5}(?!\d)"
     r"|\+(?=(?:[ .()/\-]{0,3}\d){7})\d{1,3}[ .\-]?\(\d{1,4}\) ?\d{1,4}(?:(?: ?/ ?|[ .\-])\d{2,8}){1,5}(?!\d)"
     r"|\+\d{1,3}[ .\-]\(?\d{1,4}\)?(?: ?/ ?|[ .\-])\d{5,8}(?:[ .\-]\d{1,4})?(?!\d)"
+)
+PHONE = PLUS_PHONE + (
     r"|(?<![\d\w])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
     r"|(?<![\w.+\-/])(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w\-/]|\.\d)"
     r"|(?<![\w.+\-/])0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4}|\d{8})(?![\w\-/]|\.\d)"
@@ -78,7 +80,8 @@ SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 TOKEN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}[\p{L}'\-]{1,31}(?: \p{Lu}[\p{L}'\-]{1,31}){0,2}"
-ENTITY = f"{EMAIL}|{IPV4}|{TOKEN}|{SECRET}|{SSN}|{PHONE}|{CARD}|{IBAN}|{IPV6}|{NAME}"
+# Most begin where a word does; looking there first spares the others a try at every letter.
+ENTITY = f"(?<![A-Za-z0-9])(?:{EMAIL}|{IPV4}|{TOKEN}|{SECRET}|{SSN}|{PHONE}|{CARD}|{IBAN}|{IPV6}|{NAME})|{IPV4}|{PLUS_PHONE}|{NAME}"
 MAX_TURNS = 60
 # What ENTITY matches, MAY_HAVE matches.
 MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|0\d[ .\-]\d|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]|[A-Z]{2}\d\d|AKIA|ASIA|gh[pousr]_|sk-|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
