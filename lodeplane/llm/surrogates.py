@@ -84,7 +84,8 @@ NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}[\p{L}'\-]{1,31}(?:
 ENTITY = f"(?<![A-Za-z0-9])(?:{EMAIL}|{IPV4}|{TOKEN}|{SECRET}|{SSN}|{PHONE}|{CARD}|{IBAN}|{IPV6}|{NAME})|{IPV4}|{PLUS_PHONE}|{NAME}"
 MAX_TURNS = 60
 # What ENTITY matches, MAY_HAVE matches.
-MAY_HAVE = r"@|\d\d\d|\d\.\d|\+\d|\(\d|0\d[ .\-]\d|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]|[A-Z]{2}\d\d|AKIA|ASIA|gh[pousr]_|sk-|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+FIRST_OF_TITLES = "".join(sorted({t[0] for t in TITLES}))
+MAY_HAVE = "[@0-9]|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}|(?=[" + FIRST_OF_TITLES + "])(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
 
 
 def _luhn_sum(digits: Column) -> Column:
