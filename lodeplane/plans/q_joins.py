@@ -149,9 +149,8 @@ def _(t):
 
 @query("jon14", "SELECT w.cid, coalesce(l.event_id, r.event_id, b.event_id) AS event_id, CASE WHEN l.event_id IS NOT NULL THEN 'local' WHEN r.event_id IS NOT NULL THEN 'routed' WHEN b.event_id IS NOT NULL THEN 'broadcast' END AS source FROM (SELECT DISTINCT cid FROM event_log) w LEFT JOIN (SELECT cid, min(event_id) AS event_id FROM event_log WHERE node = 'n0' GROUP BY cid) l USING (cid) LEFT JOIN (SELECT cid, min(event_id) AS event_id FROM event_log WHERE node IN ('n1', 'n2') GROUP BY cid) r USING (cid) LEFT JOIN (SELECT cid, min(event_id) AS event_id FROM event_log GROUP BY cid) b USING (cid)")
 def _(t):
-    first = lambda d, name: d.groupBy("cid").agg(F.min("event_id").alias(name))
-    e = t.event_log
-    out = e.select("cid").distinct().join(first(e.where("node = 'n0'"), "l"), "cid", "left").join(first(e.where("node IN ('n1', 'n2')"), "r"), "cid", "left").join(first(e, "b"), "cid", "left")
+    first = lambda cond: F.min(F.when(F.expr(cond), F.col("event_id")))
+    out = t.event_log.groupBy("cid").agg(first("node = 'n0'").alias("l"), first("node IN ('n1', 'n2')").alias("r"), F.min("event_id").alias("b"))
     return out.select("cid", F.coalesce("l", "r", "b").alias("event_id"), F.when(F.col("l").isNotNull(), "local").when(F.col("r").isNotNull(), "routed").when(F.col("b").isNotNull(), "broadcast").alias("source"))
 
 
