@@ -26,12 +26,36 @@ def ipv4(ip: Column) -> Column:
     return F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), n(0) * 16777216 + n(1) * 65536 + n(2) * 256 + n(3))
 
 
+def ipv6(ip: Column) -> Column:
+    """The address as 128 binary digits; null if it is none. Forms with a dotted end are not read."""
+    low = F.lower(ip)
+    group, groups = "[0-9a-f]{1,4}", "(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?"
+    side = lambda k: F.filter(F.coalesce(F.split(F.get(F.split(low, "::"), F.lit(k)), ":"), F.array().cast("array<string>")), lambda g: g != "")
+    n = F.size(side(0)) + F.size(side(1))
+    all_ = F.concat(side(0), F.array_repeat(F.lit("0"), 8 - n), side(1))
+    ok = low.rlike(f"^({group}:){{7}}{group}$") | (low.rlike(f"^{groups}::{groups}$") & (n <= 7))
+    return F.when(ok, F.array_join(F.transform(all_, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+
 def in_cidr(ip: Column, cidr: Column) -> Column:
-    """False for bad addresses."""
-    bits = F.substring_index(cidr, "/", -1).cast("int")
+    """False for bad addresses and for those of the other family."""
+    base, bits = F.substring_index(cidr, "/", 1), F.substring_index(cidr, "/", -1).cast("int")
     block = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    a, b = ipv4(ip), ipv4(F.substring_index(cidr, "/", 1))
-    return F.coalesce(F.floor(a / block) == F.floor(b / block), F.lit(False))
+    v4 = F.floor(ipv4(ip) / block) == F.floor(ipv4(base) / block)
+    v6 = F.left(ipv6(ip), bits) == F.left(ipv6(base), bits)
+    return F.coalesce(F.when(F.contains(cidr, F.lit(":")), v6).otherwise(v4), F.lit(False))
+
+
+def is_address(ip: Column) -> Column:
+    return F.coalesce(ipv4(ip).isNotNull() | ipv6(ip).isNotNull(), F.lit(False))
+
+
+def arn(resource: Column) -> tuple[Column, Column, Column]:
+    """Bucket, key and prefix mode: a resource that ends in /* stands for all keys of what is before it."""
+    rest = F.regexp_replace(resource, "^arn:aws:s3:::", "")
+    mode = rest.endswith("/*")
+    bucket = F.when(mode, F.left(rest, F.length(rest) - 2)).otherwise(F.substring_index(rest, "/", 1))
+    return bucket, F.when(mode, "").otherwise(F.regexp_extract(rest, r"(?s)^[^/]*/(.*)$", 1)), mode
 
 
 def byte_range(header: Column, size: Column) -> tuple[Column, Column]:
@@ -107,3 +131,27 @@ def s3_operation(method: Column, path: Column, raw: Column) -> Column:
     for m, cond, name in rules:
         out = out.when((method == m) & cond, name)
     return out.otherwise(method)
+
+
+def audit_operation(method: Column, has_key: Column, raw: Column, copies: Column) -> Column:
+    """Operation of the audit trail. Unlike s3_operation() it looks for names anywhere in the query, and subresources come first."""
+    has = lambda k: (raw == k) | raw.startswith(f"{k}&") | raw.contains(f"&{k}") | raw.contains(f"{k}=")
+    title = F.when(method.isin("GET", "PUT", "DELETE"), F.initcap(method)).otherwise("Unknown")
+    of = lambda names: F.coalesce(*[F.when(method == m, n) for m, n in names.items()])
+    bucket_policy = of({"GET": "GetBucketPolicy", "PUT": "PutBucketPolicy", "DELETE": "DeleteBucketPolicy"})
+    upload = of({"PUT": "UploadPart", "POST": "CompleteMultipartUpload", "DELETE": "AbortMultipartUpload", "GET": "ListParts"})
+    bucket = of({"GET": "ListObjects", "HEAD": "HeadBucket", "PUT": "CreateBucket", "DELETE": "DeleteBucket"})
+    key = of({"GET": "GetObject", "HEAD": "HeadObject", "PUT": "PutObject", "DELETE": "DeleteObject", "POST": "PostObject"})
+    return F.coalesce(
+        F.when((method == "PUT") & has_key & copies, "CopyObject"),
+        F.when(has("policy"), bucket_policy),
+        F.when(has("versioning"), F.concat(title, F.lit("BucketVersioning"))),
+        F.when(has("lifecycle"), F.concat(title, F.lit("BucketLifecycle"))),
+        F.when(has("versions"), "ListObjectVersions"),
+        F.when((method == "GET") & ~has_key & has("uploads"), "ListMultipartUploads"),
+        F.when((method == "POST") & has_key & has("uploads"), "CreateMultipartUpload"),
+        F.when(has("uploadId"), upload),
+        F.when(~has_key, bucket),
+        key,
+        F.lit("Unknown"),
+    )

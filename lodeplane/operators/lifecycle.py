@@ -29,16 +29,33 @@ def expiry(mod_time: Column, days: Column) -> Column:
     return (F.floor(mod_time / DAY) + days + 1) * DAY
 
 
+def counted(ranked: DataFrame) -> DataFrame:
+    """Adds n, the number of versions of the key."""
+    return ranked.withColumn("n", F.count("*").over(Window.partitionBy("bucket", "key")))
+
+
+def _expires(now: int) -> Column:
+    return matches() & (F.coalesce(F.col("exp_date"), expiry(F.col("mod_time"), F.col("exp_days"))) <= now)
+
+
+def _dangles() -> Column:
+    return (F.col("n") == 1) & matches()
+
+
+def _outlived(now: int) -> Column:
+    by_count = F.coalesce(F.col("nc_rank") >= F.col("nc_newer"), F.lit(True))
+    by_age = F.coalesce(F.col("mod_time") + F.col("nc_days") * DAY <= now, F.lit(True))
+    return F.coalesce("nc_days", "nc_newer").isNotNull() & by_count & by_age
+
+
 def expired_current(ranked: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     """(rule, version) pairs: current versions, not markers, past the rule's date or their own expiry by days."""
-    both = ranked.where(F.col("is_latest") & ~F.col("is_delete_marker")).join(enabled(rules), "bucket")
-    return both.where(matches() & (F.coalesce(F.col("exp_date"), expiry(F.col("mod_time"), F.col("exp_days"))) <= now))
+    return ranked.where(F.col("is_latest") & ~F.col("is_delete_marker")).join(enabled(rules), "bucket").where(_expires(now))
 
 
 def dangling_markers(ranked: DataFrame, rules: DataFrame) -> DataFrame:
     """Current delete markers that are their key's only version, where a rule whose filter they match asks for it."""
-    alone = ranked.withColumn("n", F.count("*").over(Window.partitionBy("bucket", "key"))).where(F.col("is_latest") & F.col("is_delete_marker") & (F.col("n") == 1))
-    return alone.join(enabled(rules).where("exp_marker"), "bucket").where(matches())
+    return counted(ranked).where(F.col("is_latest") & F.col("is_delete_marker")).join(enabled(rules).where("exp_marker"), "bucket").where(_dangles())
 
 
 def noncurrent(ranked: DataFrame) -> DataFrame:
@@ -48,10 +65,15 @@ def noncurrent(ranked: DataFrame) -> DataFrame:
 
 def expired_noncurrent(ranked: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     """Both bounds must hold where both are set; the rule's filter does not apply."""
-    both = noncurrent(ranked).join(enabled(rules), "bucket").where("nc_days is not null or nc_newer is not null")
-    by_count = F.coalesce(F.col("nc_rank") >= F.col("nc_newer"), F.lit(True))
-    by_age = F.coalesce(F.col("mod_time") + F.col("nc_days") * DAY <= now, F.lit(True))
-    return both.where(by_count & by_age)
+    return noncurrent(ranked).join(enabled(rules), "bucket").where(_outlived(now))
+
+
+def actions(ranked: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """(action, rule, version) of all three kinds, in one pass over the ranked versions."""
+    both = counted(ranked).withColumn("nc_rank", F.col("rk") - 2).join(enabled(rules), "bucket")
+    current, marker = F.col("is_latest"), F.col("is_delete_marker")
+    action = F.when(current & ~marker & _expires(now), "expire").when(current & marker & F.col("exp_marker") & _dangles(), "marker").when(~current & _outlived(now), "noncurrent")
+    return both.withColumn("action", action).where("action is not null")
 
 
 def expired_uploads(uploads: DataFrame, rules: DataFrame, now: int) -> DataFrame:

@@ -17,6 +17,11 @@ def scan_strict(blobs: DataFrame, bucket: str) -> DataFrame:
     return blobs.where(F.col("bucket") == bucket).where(ok)
 
 
+def user_buckets(names: DataFrame) -> DataFrame:
+    """Distinct names in order, without internal ones."""
+    return names.distinct().where(~F.col("name").startswith("__")).orderBy("name")
+
+
 def visible(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_delete_marker") & ~F.col("is_hard_deleted"))
 
@@ -41,5 +46,11 @@ def token(key: Column) -> Column:
     return F.base64(F.encode(key, "UTF-8"))
 
 
+def resume(v2: Column, token_: Column, start_after: Column, marker: Column) -> Column:
+    """The key after which a page begins: version 2 has the token, else start-after; version 1 the marker."""
+    decoded = from_token(token_)
+    return F.when(~v2, marker).when(decoded != "", decoded).otherwise(start_after)
+
+
 def from_token(t: Column) -> Column:
     return F.decode(F.unbase64(t), "UTF-8")

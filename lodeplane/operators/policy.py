@@ -22,11 +22,16 @@ def http_conditions() -> Column:
 
 
 def copy_conditions(unmodified: int, modified: int) -> Column:
-    """Match, unmodified, none-match, modified; a * is a literal here."""
-    bare = lambda h: F.btrim(F.col(h), F.lit('"'))
+    """Match, unmodified, none-match, modified; an empty condition is none, a * is a literal here, and weak or several
+    ETags are refused."""
+    given = lambda h: F.trim(F.nullif(F.col(h), F.lit("")))
+    refused = lambda h: given(h).contains(",") | given(h).startswith("W/")
+    bare = lambda h: F.regexp_replace(given(h), '^"|"$', "")
     return (
-        F.when(bare("if_match") != F.col("etag"), 412)
+        F.when(refused("if_match"), 400)
+        .when(bare("if_match") != F.col("etag"), 412)
         .when(F.col("mod_time") > unmodified, 412)
+        .when(refused("if_none_match"), 400)
         .when(bare("if_none_match") == F.col("etag"), 412)
         .when(F.col("mod_time") <= modified, 412)
         .otherwise(200)
@@ -53,11 +58,25 @@ def post_policy(conditions: DataFrame, form: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.bool_and(F.when(F.col("op") == "eq", F.col("form") == F.col("v")).otherwise(F.col("form").startswith(F.col("v")))).alias("ok"))
 
 
+# Operations of the paths of the other services; a name that ends in / stands for all below it.
+API_OPERATIONS = {
+    "/api/cluster/status": "Status", "/api/cluster/placement": "Placement", "/api/cluster/balancer/status": "BalancerStatus",
+    "/api/incidents": "Incidents", "/api/incidents/": "Incidents", "/api/events": "Events", "/api/eventlog": "Events",
+}
+
+
 def routes(requests: DataFrame) -> DataFrame:
-    p = F.col("path")
+    """service, operation for metrics and audited, the operation of the audit trail, of (method, path, q, copies)."""
+    p, method = F.col("path"), F.col("method")
     under = lambda *xs: F.array_contains(F.array(*[(p == x) | p.startswith(x + "/") for x in xs]), True)
-    service = F.when(p == "/metrics", "metrics").when(p.startswith("/api/cluster/"), "cluster").when(under("/api", "/admin"), "admin").when(under("/ui"), "dashboard").otherwise("s3")
-    return requests.withColumn("service", service).withColumn("operation", F.when(F.col("service") == "s3", fn.s3_operation(F.col("method"), p, F.col("q"))))
+    service = (
+        F.when(p == "/metrics", "metrics").when(p.startswith("/api/cluster/"), "cluster").when(under("/api", "/admin"), "admin")
+        .when(under("/ui"), "dashboard").when(p.startswith("/") & ~under("/metrics"), "s3").otherwise("other")
+    )
+    api = F.coalesce(*[F.when(p.startswith(x) if x.endswith("/") else p == x, name) for x, name in API_OPERATIONS.items()], F.lit("API"))
+    operation = F.when(F.col("service") == "s3", fn.s3_operation(method, p, F.col("q"))).when(F.col("service") == "metrics", "Scrape").when(F.col("service") == "dashboard", "UI").when(F.col("service") == "other", method).otherwise(api)
+    has_key = F.instr(F.btrim(p, F.lit("/")), "/") > 0
+    return requests.withColumn("service", service).withColumn("operation", operation).withColumn("audited", fn.audit_operation(method, has_key, F.col("q"), F.col("copies")))
 
 
 def acl_allows(acl: Column, is_read: Column, has_key: Column) -> Column:
@@ -83,6 +102,47 @@ def hits(requests: DataFrame, statements: DataFrame, on: list[str]) -> DataFrame
     return requests.join(s, on).where(fn.glob(F.col("action"), F.col("s_action")) & fn.glob(F.col("resource"), F.col("s_resource")) & address)
 
 
+def bucket_hits(requests: DataFrame, statements: DataFrame, compiled: bool) -> DataFrame:
+    """Requests with the statements of their bucket that match principal, action and resource; actions may end in :*.
+    Compiled statements name a bucket, with all its keys or one; in the others any prefix may stand before /*."""
+    s = statements.select("bucket", "pos", "effect", *[F.col(c).alias(f"s_{c}") for c in ("principal", "action", "resource")])
+    named, asked = F.col("s_resource"), F.col("resource")
+    who = F.col("s_principal").isin("*") | (F.col("s_principal") == F.col("principal"))
+    what = (F.col("s_action") == F.col("action")) | (F.col("s_action").endswith(":*") & F.col("action").startswith(F.left("s_action", F.length("s_action") - 1)))
+    if compiled:
+        bucket, key, every = fn.arn(named)
+        where = (bucket == F.col("bucket")) & (every | (key == fn.arn(asked)[1]))
+    else:
+        prefix = F.left(named, F.length(named) - 2)
+        where = (named == asked) | (named.endswith("/*") & ((asked == prefix) | asked.startswith(F.concat(prefix, F.lit("/")))))
+    return requests.join(s, "bucket").where(who & what & where)
+
+
+def allowed(requests: DataFrame, hits_: DataFrame) -> DataFrame:
+    """Any deny refuses, else any allow lets pass, else refused."""
+    deny = F.col("effect") == "Deny"
+    folded = hits_.groupBy("req").agg((F.bool_or(~deny) & ~F.bool_or(deny)).alias("ok"))
+    return requests.join(folded, "req", "left").withColumn("allowed", F.coalesce("ok", F.lit(False))).drop("ok")
+
+
+def layered(requests: DataFrame, iam: DataFrame, statements: DataFrame) -> DataFrame:
+    """allow, layer and reason of requests with acl and keyed (whether an access key came): the grant first; then the
+    bucket's policy, if it has one and the action is not on policies themselves; then the object's ACL."""
+    action, acl = F.col("action"), F.col("acl")
+    own = statements.select("bucket").distinct().withColumn("has_policy", F.lit(True))
+    all_ = allowed(requests, bucket_hits(requests, statements, True)).join(own, "bucket", "left").join(iam.select("req", "decision"), "req")
+    granted_ = F.col("decision") == "Allow"
+    passes = action.isin("s3:GetBucketPolicy", "s3:PutBucketPolicy", "s3:DeleteBucketPolicy") | F.col("has_policy").isNull() | F.col("allowed")
+    is_read = action.isin("s3:GetObject", "s3:HeadObject", "s3:ListBucket")
+    by_acl = acl_allows(acl, is_read, F.col("keyed"))
+    layer = (
+        F.when(~granted_, "iam_grant").when(~passes, "bucket_policy").when(~by_acl, "object_acl")
+        .when(acl.bitwiseAND(2) > 0, "object_acl_public_read_write").when((acl.bitwiseAND(1) > 0) & is_read, "object_acl_public_read").otherwise("object_acl_authenticated")
+    )
+    reason = F.when(~granted_, "no_grant").when(~passes, "policy_deny").when(~by_acl, F.when(F.col("keyed"), "acl_private_denied").otherwise("acl_anonymous_denied"))
+    return all_.select("req", (granted_ & passes & by_acl).alias("allow"), layer.alias("layer"), reason.alias("reason"))
+
+
 def decide(requests: DataFrame, matched: DataFrame) -> DataFrame:
     """Any deny, else any allow, else implicit deny; the label is the first deny or the last allow."""
     place = F.struct("policy", "pos")

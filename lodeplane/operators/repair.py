@@ -5,17 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+
 
 def needs_redundancy(now: int, min_age: int, redundant: Column) -> Column:
     return redundant & (F.col("ec_data") >= 1) & (F.col("ec_parity") == 0) & ~F.col("is_delete_marker") & (now - F.col("mod_time") >= min_age)
 
 
-def layouts(objects: DataFrame, groups: DataFrame) -> DataFrame:
-    """layout of each object against the width of its group."""
-    width = groups.groupBy("group_id").agg(F.count("*").alias("n"))
-    shards = F.col("ec_data") + F.col("ec_parity")
-    state = F.when(F.col("n").isNull(), "unknown").when(shards < F.col("n"), "pending-upgrade").when(shards > F.col("n"), "downgrade-skipped").otherwise("current")
-    return objects.join(width, "group_id", "left").withColumn("layout", state)
+# The profiles (data + parity shards) from the narrowest to the widest.
+PROFILES = ["1+0", "1+1", "2+1", "2+2", "3+2", "4+2", "5+2", "6+2"]
+
+
+def redundant_capacity(groups: DataFrame) -> DataFrame:
+    """One row: whether two nodes or more are there and the widest group would have parity."""
+    widest = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.collect_set("peer").alias("p"))
+    out = widest.agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("p")))).alias("nodes"))
+    return out.select(((F.col("nodes") >= 2) & (fn.ec_profile(F.col("n"))[1] > 0)).alias("redundant"))
+
+
+def _width(data: Column, parity: Column) -> Column:
+    """Place of a profile from 1, 0 for one that is none."""
+    return F.array_position(F.array(*map(F.lit, PROFILES)), F.concat_ws("+", data.cast("string"), parity.cast("string")))
+
+
+def layouts(objects: DataFrame, groups: DataFrame, missing: list[str]) -> DataFrame:
+    """layout of each object (with node_ids) against its group: unknown without one; repair-needed where nodes lack or
+    are too many; downgrade-skipped where its profile is wider than the group's; repair-needed where a node is missing or
+    not of the group; pending-upgrade where its profile is narrower; else current."""
+    peers = groups.groupBy("group_id").agg(F.collect_set("peer").alias("peers"))
+    actual, desired = _width(F.col("ec_data"), F.col("ec_parity")), _width(*fn.ec_profile(F.size("peers")))
+    nodes, known = F.size("node_ids"), (actual > 0) & (desired > 0)
+    astray = F.size(F.array_except("node_ids", "peers")) > 0
+    gone = F.arrays_overlap("node_ids", F.array(*map(F.lit, missing)).cast("array<string>"))
+    state = (
+        F.when(F.col("peers").isNull(), "unknown")
+        .when((nodes == 0) | (nodes != F.col("ec_data") + F.col("ec_parity")), "repair-needed")
+        .when(known & (actual > desired), "downgrade-skipped")
+        .when(astray | gone, "repair-needed")
+        .when(~known, "unknown")
+        .when(actual < desired, "pending-upgrade")
+        .otherwise("current")
+    )
+    return objects.join(peers, "group_id", "left").withColumn("layout", state)
+
+
+def attempt_order(nodes: Column, data: Column, parity: Column, demoted: list[str]) -> tuple[Column, Column]:
+    """Shards to read first, and after those. Demoted data shards change places with the lowest parity shards that are
+    not, one for one, unless there are too few of these; what is left for later has the demoted ones last."""
+    upto = lambda a, n: F.when(n > 0, F.sequence(a, a + n - 1)).otherwise(F.array().cast("array<int>"))
+    bad = lambda i: F.get(nodes, i).isin(demoted)
+    first, rest = upto(F.lit(0), data), upto(data, parity)
+    out, spare = F.filter(first, bad), F.filter(rest, lambda i: ~bad(i))
+    swapped = F.slice(spare, 1, F.size(out))
+    later = F.array_sort(F.concat(F.array_except(rest, swapped), out))
+    short = F.size(out) > F.size(spare)
+    return (
+        F.when(short, first).otherwise(F.array_sort(F.concat(F.array_except(first, out), swapped))),
+        F.when(short, rest).otherwise(F.concat(F.filter(later, lambda i: ~bad(i)), F.filter(later, bad))),
+    )
 
 
 def refcounts(refs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import balance, listing, lww, metrics, repair
+from ..sources import sinks
 from ..sources.adapters import Tables
 from .q_sources import ID, LAST_STATS, rows
 from .registry import query
@@ -81,11 +82,13 @@ def _(t):
     return t.node_stats.groupBy(day().alias("day")).agg(F.round(F.avg("rps"), 6).alias("mean"), F.round(F.avg("rps") * 1.25, 6).alias("high"), F.round(F.avg("rps") * 1.1, 6).alias("low"), F.max("us").alias("updated"))
 
 
-@query("agg13", "SELECT cid, min(us) AS first_us, (max(us) - min(us)) // 1000 AS duration_ms, count(*) FILTER (WHERE phase = 'detect' AND shard_id >= 0) AS lost, count(*) FILTER (WHERE phase = 'write' AND outcome = 'success') AS rebuilt, count(DISTINCT peer) AS peers, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY us, event_id)) AS ids FROM heal_events GROUP BY cid")
+@query("agg13", "WITH p AS (SELECT cid, string_agg(peer, ',' ORDER BY us, event_id) AS peers FROM (SELECT *, row_number() OVER (PARTITION BY cid, peer ORDER BY us, event_id) AS f FROM heal_events) WHERE f = 1 GROUP BY cid) SELECT cid, min(us) AS first_us, (max(us) - min(us)) // 1000 AS duration_ms, count(*) FILTER (WHERE phase = 'detect' AND shard_id >= 0) AS lost, count(*) FILTER (WHERE phase = 'write' AND outcome = 'success' AND shard_id >= 0) AS rebuilt, peers, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY us, event_id)) AS ids FROM heal_events JOIN p USING (cid) GROUP BY cid, peers")
 def _(t):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id"))), lambda x: x["event_id"].cast("string"))
-    return t.heal_events.groupBy("cid").agg(F.min("us").alias("first_us"), F.floor((F.max("us") - F.min("us")) / 1000).alias("duration_ms"), F.count_if((F.col("phase") == "detect") & (F.col("shard_id") >= 0)).alias("lost"),
-        F.count_if((F.col("phase") == "write") & (F.col("outcome") == "success")).alias("rebuilt"), F.count_distinct("peer").alias("peers"), F.md5(F.array_join(ids, ",")).alias("ids"))
+    shard = F.col("shard_id") >= 0
+    g = t.heal_events.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "peer"))).alias("e"), F.min("us").alias("first_us"), F.floor((F.max("us") - F.min("us")) / 1000).alias("duration_ms"), F.count_if((F.col("phase") == "detect") & shard).alias("lost"),
+        F.count_if((F.col("phase") == "write") & (F.col("outcome") == "success") & shard).alias("rebuilt"))
+    peers, ids = F.array_distinct(F.transform("e", lambda x: x["peer"])), F.transform("e", lambda x: x["event_id"].cast("string"))
+    return g.select("cid", "first_us", "duration_ms", "lost", "rebuilt", F.array_join(peers, ",").alias("peers"), F.md5(F.array_join(ids, ",")).alias("ids"))
 
 
 @query("agg14", "SELECT bucket, count(*) FILTER (WHERE outcome = 'success') AS repaired, count(*) FILTER (WHERE outcome = 'failed') AS failed, bool_or(outcome = 'failed') AS partial FROM heal_events GROUP BY bucket")
@@ -94,18 +97,25 @@ def _(t):
     return t.heal_events.groupBy("bucket").agg(F.count_if(~bad).alias("repaired"), F.count_if(bad).alias("failed"), F.bool_or(bad).alias("partial"))
 
 
-@query("agg15", f"SELECT group_id, count(*) AS voters, count(*) FILTER (WHERE disk_pct < 60) AS alive, count(*) // 2 + 1 AS required, count(*) FILTER (WHERE disk_pct < 60) >= count(*) // 2 + 1 AS has_quorum FROM groups g LEFT JOIN {LAST_STATS} s ON s.node_id = g.peer GROUP BY group_id")
+@query("agg15", f"WITH q AS (SELECT group_id, count(*) AS voters, count(*) FILTER (WHERE disk_pct < 60) AS alive, count(*) // 2 + 1 AS required, count(*) FILTER (WHERE disk_pct < 60) >= count(*) // 2 + 1 AS has_quorum FROM groups g LEFT JOIN {LAST_STATS} s ON s.node_id = g.peer GROUP BY group_id) SELECT q.*, q.has_quorum AND n.has_quorum AS joint FROM q JOIN q n ON n.group_id = concat('g', (CAST(substr(q.group_id, 2) AS INT) + 1) % 5)")
 def _(t):
     s = balance.current(t.node_stats).select(F.col("node_id").alias("peer"), "disk_pct")
     alive, need = F.count_if(F.col("disk_pct") < 60), F.floor(F.count("*") / 2) + 1
-    return t.groups.join(s, "peer", "left").groupBy("group_id").agg(F.count("*").alias("voters"), alive.alias("alive"), need.alias("required"), (alive >= need).alias("has_quorum"))
+    q = t.groups.join(s, "peer", "left").groupBy("group_id").agg(F.count("*").alias("voters"), alive.alias("alive"), need.alias("required"), (alive >= need).alias("has_quorum"))
+    # while voters change from a group's to the next one's, both need their majority
+    new = q.select(F.concat(F.lit("g"), ((F.substring("group_id", 2, 9).cast("int") + 4) % 5).cast("string")).alias("group_id"), F.col("has_quorum").alias("then"))
+    return q.join(new, "group_id").select("group_id", "voters", "alive", "required", "has_quorum", (F.col("has_quorum") & F.col("then")).alias("joint"))
 
 
-@query("agg16", f"SELECT state, count(node_id) AS n FROM (VALUES ('ok'), ('warn'), ('critical')) AS f(state) LEFT JOIN (SELECT node_id, CASE WHEN disk_pct >= 90 THEN 'critical' WHEN disk_pct >= 50 THEN 'warn' ELSE 'ok' END AS state FROM {LAST_STATS}) USING (state) GROUP BY state")
+@query("agg16", f"WITH s AS (SELECT node_id, CASE WHEN disk_pct >= 90 THEN 'critical' WHEN disk_pct >= 50 THEN 'warn' ELSE 'ok' END AS state, CASE avail % 3 WHEN 0 THEN 'leader' WHEN 1 THEN 'follower' ELSE 'candidate' END AS role, greatest(0, avail - 50000) AS lag FROM {LAST_STATS}) SELECT 'members' AS metric, state AS label, count(node_id) AS n FROM (VALUES ('ok'), ('warn'), ('critical')) AS f(state) LEFT JOIN s USING (state) GROUP BY state UNION ALL SELECT 'role', concat(s.node_id, '=', r.role), CAST(s.role = r.role AS BIGINT) FROM s CROSS JOIN (VALUES ('leader'), ('follower'), ('candidate')) AS r(role) UNION ALL SELECT 'lag', node_id, lag FROM s")
 def _(t):
     state = F.when(F.col("disk_pct") >= 90, "critical").when(F.col("disk_pct") >= 50, "warn").otherwise("ok")
-    counted = balance.current(t.node_stats).select("node_id", state.alias("state"))
-    return rows(t, "('ok'), ('warn'), ('critical') AS f(state)").join(counted, "state", "left").groupBy("state").agg(F.count("node_id").alias("n"))
+    role = F.when(F.col("avail") % 3 == 0, "leader").when(F.col("avail") % 3 == 1, "follower").otherwise("candidate")
+    s = balance.current(t.node_stats).select("node_id", state.alias("state"), role.alias("role"), F.greatest(F.lit(0), F.col("avail") - 50000).alias("lag"))
+    members = rows(t, "('ok'), ('warn'), ('critical') AS f(state)").join(s, "state", "left").groupBy(F.lit("members").alias("metric"), F.col("state").alias("label")).agg(F.count("node_id").alias("n"))
+    hot = F.explode(F.array(*[F.struct(F.lit(r).alias("r")) for r in ("leader", "follower", "candidate")])).alias("x")
+    roles = s.select("node_id", "role", hot).select(F.lit("role").alias("metric"), F.concat("node_id", F.lit("="), "x.r").alias("label"), (F.col("role") == F.col("x.r")).cast("long").alias("n"))
+    return members.unionByName(roles).unionByName(s.select(F.lit("lag").alias("metric"), F.col("node_id").alias("label"), F.col("lag").alias("n")))
 
 
 @query("agg17", "SELECT node, type, CASE WHEN value <= 10 THEN '10' WHEN value <= 100 THEN '100' ELSE 'inf' END AS le, count(*) AS n, round(sum(value), 4) AS total FROM event_log GROUP BY 1, 2, 3")
@@ -136,12 +146,16 @@ def _(t):
     return w.join(F.broadcast(w.agg(F.max("n").alias("n"))), "n").select("group_id", "n")
 
 
-@query("agg22", "SELECT upload_id, count(*) AS n, sum(size)::BIGINT AS bytes, CASE WHEN min(part_number) < 1 OR max(part_number) > 10000 THEN 'InvalidPart' WHEN count(DISTINCT part_number) < count(*) THEN 'DuplicatePart' WHEN count(*) FILTER (WHERE size < 5242880 AND NOT is_last) > 0 THEN 'EntityTooSmall' ELSE 'ok' END AS verdict FROM (SELECT *, part_number = max(part_number) OVER (PARTITION BY upload_id) AS is_last FROM parts) GROUP BY upload_id")
+@query("agg22", "SELECT upload_id, count(*) AS n, sum(size)::BIGINT AS bytes, coalesce(min_by(error, r) FILTER (WHERE error IS NOT NULL), 'ok') AS verdict FROM (SELECT upload_id, size, r, CASE WHEN part_number NOT BETWEEN 1 AND 10000 THEN 'InvalidPart' WHEN part_number = before THEN 'DuplicatePart' WHEN trim(asked, '\"') <> etag THEN 'ETagMismatch' WHEN size < 5242880 AND r < n THEN 'EntityTooSmall' END AS error FROM (SELECT *, CASE WHEN size = 49 * 1048576 THEN 'x' WHEN part_number % 2 = 0 THEN '\"' || etag || '\"' ELSE etag END AS asked, lag(part_number) OVER w AS before, row_number() OVER w AS r, count(*) OVER (PARTITION BY upload_id) AS n FROM parts WINDOW w AS (PARTITION BY upload_id ORDER BY part_number, etag, size))) GROUP BY upload_id")
 def _(t):
-    p = t.parts.withColumn("is_last", F.col("part_number") == F.max("part_number").over(Window.partitionBy("upload_id")))
-    small = F.count_if((F.col("size") < 5242880) & ~F.col("is_last"))
-    verdict = F.when((F.min("part_number") < 1) | (F.max("part_number") > 10000), "InvalidPart").when(F.count_distinct("part_number") < F.count("*"), "DuplicatePart").when(small > 0, "EntityTooSmall").otherwise("ok")
-    return p.groupBy("upload_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), verdict.alias("verdict"))
+    asked = F.when(F.col("size") == 49 * 1048576, "x").when(F.col("part_number") % 2 == 0, F.concat(F.lit('"'), "etag", F.lit('"'))).otherwise(F.col("etag"))
+    w = Window.partitionBy("upload_id").orderBy("part_number", "etag", "size")
+    error = (
+        F.when(~F.col("part_number").between(1, 10000), "InvalidPart").when(F.col("part_number") == F.lag("part_number").over(w), "DuplicatePart")
+        .when(F.btrim(asked, F.lit('"')) != F.col("etag"), "ETagMismatch").when((F.col("size") < 5242880) & F.lead("part_number").over(w).isNotNull(), "EntityTooSmall")
+    )
+    p = t.parts.withColumn("error", error).withColumn("at", F.when(F.col("error").isNotNull(), F.struct("part_number", "etag", "size")))
+    return p.groupBy("upload_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.coalesce(F.min_by("error", "at"), F.lit("ok")).alias("verdict"))
 
 
 @query("agg23", "SELECT upload_id, concat(md5(unhex(string_agg(etag, '' ORDER BY part_number, etag))), '-', count(*)) AS etag FROM parts GROUP BY upload_id")
@@ -183,14 +197,16 @@ def _(t):
     return lww.latest(t.meta).groupBy("bucket").agg(F.sum("size").alias("bytes"), (F.sum("size") + 100000).alias("byte_limit"))
 
 
-ISSUES = "(SELECT node, unnest(string_split(CASE WHEN node = 'n1' THEN 'leaderless,lagging' WHEN node = 'n2' THEN 'lagging' WHEN node = 'n3' THEN 'unwired' ELSE '' END, ',')) AS issue FROM (SELECT DISTINCT node FROM event_log))"
+ISSUES = f"(SELECT list_filter([CASE WHEN count(*) FILTER (WHERE disk_pct < 60) = 0 THEN 'leaderless' END, CASE WHEN count(*) = 1 THEN 'unwired' END, CASE WHEN max(avail) - min(avail) > 50000 THEN 'peer_lag' END], lambda x: x IS NOT NULL) AS issues FROM groups LEFT JOIN {LAST_STATS} s ON s.node_id = peer GROUP BY group_id)"
 
 
-@query("agg29", f"SELECT count(DISTINCT node) AS total, count(*) FILTER (WHERE issue = '') AS healthy, count(*) FILTER (WHERE issue IN ('leaderless', 'unwired')) AS leaderless, count(*) FILTER (WHERE issue = 'lagging') AS lagging FROM {ISSUES}")
+@query("agg29", f"SELECT count(*) AS total, count(*) FILTER (WHERE len(issues) = 0) AS healthy, sum(len(list_filter(issues, lambda x: x IN ('leaderless', 'unwired'))))::BIGINT AS leaderless, sum(len(list_filter(issues, lambda x: x = 'peer_lag')))::BIGINT AS lagging FROM {ISSUES}")
 def _(t):
-    issue = F.explode(F.split(F.expr("CASE node WHEN 'n1' THEN 'leaderless,lagging' WHEN 'n2' THEN 'lagging' WHEN 'n3' THEN 'unwired' ELSE '' END"), ",")).alias("issue")
-    i = t.event_log.select("node").distinct().select("node", issue)
-    return i.agg(F.count_distinct("node").alias("total"), F.count_if(F.col("issue") == "").alias("healthy"), F.count_if(F.col("issue").isin("leaderless", "unwired")).alias("leaderless"), F.count_if(F.col("issue") == "lagging").alias("lagging"))
+    s = balance.current(t.node_stats).select(F.col("node_id").alias("peer"), "disk_pct", "avail")
+    found = [F.when(F.count_if(F.col("disk_pct") < 60) == 0, "leaderless"), F.when(F.count("*") == 1, "unwired"), F.when(F.max("avail") - F.min("avail") > 50000, "peer_lag")]
+    i = t.groups.join(s, "peer", "left").groupBy("group_id").agg(F.array_compact(F.array(*found)).alias("issues"))
+    of = lambda *names: F.sum(F.size(F.filter("issues", lambda x: x.isin(*names)))).cast("long")
+    return i.agg(F.count("*").alias("total"), F.count_if(F.size("issues") == 0).alias("healthy"), of("leaderless", "unwired").alias("leaderless"), of("peer_lag").alias("lagging"))
 
 
 @query("agg30", "SELECT us // 86400000000 AS day, count(DISTINCT node) >= 2 AND (count(DISTINCT node) FILTER (WHERE value > 150) > 1 OR max(user_id % 4) - min(user_id % 4) > 1) AS split FROM event_log GROUP BY 1")
@@ -226,7 +242,7 @@ def _(t):
 @query("win04", "SELECT key, peer, CAST(r AS INT) AS r FROM (SELECT key, peer, row_number() OVER (PARTITION BY key ORDER BY sha256(key || '/' || peer), peer) AS r FROM (SELECT DISTINCT key FROM latest) CROSS JOIN (SELECT DISTINCT peer FROM groups)) WHERE r <= 3")
 def _(t):
     keys = lww.latest(t.meta, markers=True).select("key").distinct()
-    return balance.rendezvous(keys, t.groups.select("peer").distinct(), "key", "peer").where("rank <= 3").select("key", "peer", F.col("rank").alias("r"))
+    return balance.rendezvous(keys, t.groups.select("peer").distinct(), "key", "peer", 3).select("key", "peer", F.col("rank").alias("r"))
 
 
 ISLAND = "(SELECT *, us // 3600000000 - row_number() OVER (PARTITION BY node_id ORDER BY us // 3600000000) AS island FROM (SELECT node_id, us // 3600000000 * 3600000000 AS us, avg(rps) AS rps FROM node_stats GROUP BY 1, 2))"
@@ -246,12 +262,14 @@ def _(t):
     return hourly(t).select("node_id", "hour", balance.hysteresis(w, F.col("rps"), F.lit(60), F.lit(40)).alias("hot"))
 
 
-@query("win06", "SELECT day, imbalance, coalesce(last_value(CASE WHEN imbalance >= 119 THEN true WHEN imbalance < 118 THEN false END IGNORE NULLS) OVER (ORDER BY day), false) AS active FROM (SELECT us // 86400000000 AS day, max(disk_pct) - min(disk_pct) AS imbalance FROM node_stats GROUP BY 1)")
+@query("win06", "SELECT day, imbalance, coalesce(last_value(CASE WHEN imbalance >= trigger_at THEN true WHEN imbalance < 118 THEN false END IGNORE NULLS) OVER (ORDER BY day), false) AS active FROM (SELECT day, imbalance, CASE WHEN day * 86400000000 - (SELECT max(j) FROM (SELECT min(us) AS j FROM node_stats GROUP BY node_id)) < 2 * 86400000000 THEN 119 * 1.5 ELSE 119 END AS trigger_at FROM (SELECT us // 86400000000 AS day, max(disk_pct) - min(disk_pct) AS imbalance FROM node_stats GROUP BY 1))")
 def _(t):
     d = t.node_stats.groupBy(day().alias("day")).agg((F.max("disk_pct") - F.min("disk_pct")).alias("imbalance"))
+    joined = t.node_stats.groupBy("node_id").agg(F.min("us").alias("us")).agg(F.max("us").alias("joined"))
+    at = balance.grace_trigger(F.col("day") * 86400000000, F.col("joined"), 119.0, 2 * 86400000000)
     # one row a day: the series is small whatever the input
-    state = F.last(F.when(F.col("imbalance") >= 119, True).when(F.col("imbalance") < 118, False), ignorenulls=True).over(Window.orderBy("day"))
-    return d.select("day", "imbalance", F.coalesce(state, F.lit(False)).alias("active"))
+    state = F.last(F.when(F.col("imbalance") >= F.col("at"), True).when(F.col("imbalance") < 118, False), ignorenulls=True).over(Window.orderBy("day"))
+    return d.crossJoin(F.broadcast(joined)).withColumn("at", at).select("day", "imbalance", F.coalesce(state, F.lit(False)).alias("active"))
 
 
 @query("win07", "SELECT node, us, round(CASE WHEN us > lag(us) OVER w THEN greatest(0, value - lag(value) OVER w) * 1e6 / (us - lag(us) OVER w) END, 6) AS rate FROM counters WINDOW w AS (PARTITION BY node ORDER BY us)")
@@ -276,9 +294,9 @@ def _(t):
     return repair.promoted(seen, "key", 50).select("cycle", "key")
 
 
-@query("win10", "SELECT node, us, round((value - fv) / ((us - fu) / 1e6), 9) AS slope FROM (SELECT node, us, value, first_value(value) OVER w AS fv, first_value(us) OVER w AS fu FROM event_log WINDOW w AS (PARTITION BY node ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE us - fu >= 300000000")
+@query("win10", "SELECT node, us, round((value - fv) / ((us - fu) / 1e6), 9) AS slope FROM (SELECT node, us, value, first_value(value) OVER w AS fv, first_value(us) OVER w AS fu FROM event_log WINDOW w AS (PARTITION BY node ORDER BY us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE us - fu >= 300000000")
 def _(t):
-    w = Window.partitionBy("node").orderBy("us").rowsBetween(-19, 0)
+    w = Window.partitionBy("node").orderBy("us", "event_id").rowsBetween(-19, 0)
     d = t.event_log.select("node", "us", "value", F.first("value").over(w).alias("fv"), F.first("us").over(w).alias("fu")).where("us - fu >= 300000000")
     return d.select("node", "us", F.round((F.col("value") - F.col("fv")) / ((F.col("us") - F.col("fu")) / 1e6), 9).alias("slope"))
 
@@ -294,21 +312,17 @@ def _(t):
     return metrics.runs(t.event_log, F.col("type").isin("error", "signup"), "us", "node").where("n = 3").select("node", "us")
 
 
-def weighted(table: str) -> str:
-    return f"(SELECT key, node_id, row_number() OVER (PARTITION BY key ORDER BY avail / -ln((CAST('0x' || substr(sha256(key || '/' || node_id), 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE) DESC, node_id) AS r FROM (SELECT DISTINCT key FROM latest WHERE bucket = 'A') CROSS JOIN {table} WHERE avail > 0)"
-
-
-@query("win14", f"SELECT key, node_id FROM {weighted(LAST_STATS)} WHERE r <= 2")
+@query("win14", f"WITH p AS (SELECT group_id, peer, CASE WHEN disk_pct < 60 THEN avail ELSE 0 END AS w FROM groups LEFT JOIN {LAST_STATS} s ON s.node_id = peer), q AS (SELECT *, count(*) FILTER (WHERE w > 0) OVER (PARTITION BY group_id) >= 2 AS ok FROM p), k AS (SELECT DISTINCT key, group_id FROM latest WHERE bucket = 'A') SELECT key, peer FROM (SELECT key, peer, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN ok THEN w / -ln(((CAST('0x' || substr(sha256(key || '/' || peer), 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE)) END DESC, CASE WHEN NOT ok THEN sha256(key || '/' || peer) END, peer) AS r FROM k JOIN q USING (group_id) WHERE NOT ok OR w > 0) WHERE r <= 2")
 def _(t):
-    keys = lww.latest(t.meta.where("bucket = 'A'"), markers=True).select("key")
-    nodes = balance.current(t.node_stats).select("node_id", F.col("avail").cast("double").alias("avail"))
-    return balance.weighted_rendezvous(keys, nodes, "key", "node_id", "avail").where("rank <= 2").select("key", "node_id")
+    keys = lww.latest(t.meta.where("bucket = 'A'"), markers=True).select("key", "group_id")
+    s = balance.current(t.node_stats).select(F.col("node_id").alias("peer"), "avail", "disk_pct")
+    members = t.groups.join(s, "peer", "left").withColumn("w", F.when(F.col("disk_pct") < 60, F.col("avail")).otherwise(0).cast("double"))
+    return balance.placement(keys, members, "key", "peer", "w", 2).select("key", "peer")
 
 
-@query("win15", "SELECT group_id, string_agg(peer, ',' ORDER BY peer) AS voters FROM (SELECT group_id, peer, row_number() OVER (PARTITION BY group_id ORDER BY sha256(group_id || '/' || peer)) AS r FROM (SELECT DISTINCT group_id FROM groups) CROSS JOIN (SELECT DISTINCT peer FROM groups)) WHERE r <= 3 GROUP BY group_id")
+@query("win15", "SELECT group_id, CASE WHEN max(n) = 1 THEN concat_ws(',', max(peer), max(peer), max(peer)) ELSE string_agg(peer, ',' ORDER BY peer) END AS voters FROM (SELECT group_id, peer, count(*) OVER (PARTITION BY group_id) AS n, row_number() OVER (PARTITION BY group_id ORDER BY sha256(group_id || '/' || peer)) AS r FROM groups) WHERE r <= 3 GROUP BY group_id")
 def _(t):
-    r = balance.rendezvous(t.groups.select("group_id").distinct(), t.groups.select("peer").distinct(), "group_id", "peer").where("rank <= 3")
-    return r.groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_list("peer")), ",").alias("voters"))
+    return balance.voters(t.groups, "peer", 3).select("group_id", F.array_join("voters", ",").alias("voters"))
 
 
 @query("srt01", "SELECT key FROM latest WHERE bucket = 'A' AND NOT is_delete_marker")
@@ -326,10 +340,16 @@ def _(t):
     return listing.page(lww.latest(t.meta.where("bucket = 'A'")), "00000050", 20).select("key", "is_truncated")
 
 
-@query("srt04", "SELECT key, base64(encode(key)) AS token FROM latest WHERE bucket = 'A' AND key > '00000011' ORDER BY key LIMIT 30")
+ASKS = "(1, true, 'MDAwMDAwMTE=', '00000040', '00000070'), (2, true, '', '00000040', '00000070'), (3, false, 'MDAwMDAwMTE=', '00000040', '00000070'), (4, true, '', '', '00000070')"
+
+
+@query("srt04", f"SELECT req, key, base64(encode(key)) AS token FROM (SELECT r.req, l.key, row_number() OVER (PARTITION BY r.req ORDER BY l.key) AS n FROM latest l JOIN (SELECT req, CASE WHEN NOT v2 THEN marker WHEN token <> '' THEN decode(from_base64(token)) ELSE start_after END AS marker FROM (VALUES {ASKS}) AS r(req, v2, token, start_after, marker)) r ON l.key > r.marker WHERE l.bucket = 'A') WHERE n <= 30")
 def _(t):
-    d = lww.latest(t.meta.where("bucket = 'A'"), markers=True).where(F.col("key") > listing.from_token(F.lit("MDAwMDAwMTE=")))
-    return d.orderBy("key").limit(30).select("key", listing.token(F.col("key")).alias("token"))
+    asks = rows(t, f"{ASKS} AS r(req, v2, token, start_after, marker)")
+    after = asks.select("req", listing.resume(F.col("v2"), F.col("token"), F.col("start_after"), F.col("marker")).alias("after"))
+    found = lww.latest(t.meta.where("bucket = 'A'"), markers=True).select("key").join(F.broadcast(after), F.col("key") > F.col("after"))
+    n = F.row_number().over(Window.partitionBy("req").orderBy("key"))
+    return found.withColumn("n", n).where("n <= 30").select("req", "key", listing.token(F.col("key")).alias("token"))
 
 
 @query("srt05", "SELECT bucket, key, version_id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key) AS r FROM latest WHERE NOT is_delete_marker) WHERE r <= 15")
@@ -353,14 +373,18 @@ def _(t):
     return t.heal_events.orderBy(F.desc("us"), F.desc("event_id")).limit(75).select("event_id", "us")
 
 
-@query("srt09", "SELECT event_id, us FROM heal_events WHERE us >= 1704153600000000 AND us < 1704240000000000 ORDER BY us LIMIT 100")
+@query("srt09", "SELECT event_id, us FROM heal_events WHERE us >= 1704153600000000 AND us < 1705881600000000 ORDER BY us, event_id LIMIT 1000")
 def _(t):
-    return t.heal_events.where("us >= 1704153600000000 AND us < 1704240000000000").orderBy("us").limit(100).select("event_id", "us")
+    return sinks.receipts(t.heal_events, 1704153600000000, 1705881600000000, 30 * 86400000000, 5000).select("event_id", "us")
 
 
-@query("srt10", "SELECT upload_id, key, initiated FROM uploads WHERE bucket = 'O' ORDER BY initiated, key, upload_id LIMIT 200")
+@query("srt10", "SELECT u.upload_id, u.key, u.initiated, p.part_number FROM (SELECT * FROM uploads WHERE bucket = 'O' AND starts_with(key, '000000') ORDER BY initiated, key, upload_id LIMIT 200) u LEFT JOIN (SELECT upload_id, part_number, row_number() OVER (PARTITION BY upload_id ORDER BY part_number, etag, size) AS r FROM parts WHERE part_number > 0) p ON p.upload_id = u.upload_id AND p.r <= 2")
 def _(t):
-    return t.uploads.where("bucket = 'O'").orderBy("initiated", "key", "upload_id").limit(200).select("upload_id", "key", "initiated")
+    page = t.uploads.where("bucket = 'O' AND startswith(key, '000000')").orderBy("initiated", "key", "upload_id").limit(200)
+    # the page is bounded by its limit
+    listed = t.parts.where("part_number > 0").join(F.broadcast(page.select("upload_id")), "upload_id", "left_semi")
+    r = F.row_number().over(Window.partitionBy("upload_id").orderBy("part_number", "etag", "size"))
+    return page.join(listed.withColumn("r", r).where("r <= 2"), "upload_id", "left").select("upload_id", "key", "initiated", "part_number")
 
 
 @query("srt11", "SELECT cid, string_agg(type, '>' ORDER BY us, seq) AS story FROM facts GROUP BY cid")
@@ -368,11 +392,21 @@ def _(t):
     return t.facts.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "type"))), lambda x: x["type"]), ">").alias("story"))
 
 
-@query("srt12", "WITH s AS (SELECT group_id, peer, row_number() OVER (PARTITION BY group_id ORDER BY peer) - 1 AS idx, peer IN ('n1', 'n5', 'n6') AS demoted FROM groups) SELECT group_id, string_agg(peer, ',' ORDER BY demoted, idx) AS attempts FROM s GROUP BY group_id")
+DEMOTED = "['n1', 'n5', 'n6']"
+ATTEMPTS = f"""WITH o AS (SELECT key, ec_data AS k, ec_parity AS m, list_transform(range(0, ec_data + ec_parity), lambda i: concat('n', (CAST(key AS BIGINT) * 3 + i) % 8)) AS nodes FROM latest WHERE bucket = 'A' AND NOT is_delete_marker),
+    p AS (SELECT *, list_filter(range(0, k), lambda i: list_contains({DEMOTED}, nodes[i + 1])) AS gone, list_filter(range(k, k + m), lambda i: NOT list_contains({DEMOTED}, nodes[i + 1])) AS spare FROM o),
+    q AS (SELECT *, list_filter(spare, lambda x, j: j <= len(gone)) AS swapped FROM p),
+    r AS (SELECT *, list_sort(list_concat(list_filter(range(k, k + m), lambda i: NOT list_contains(swapped, i)), gone)) AS later FROM q)
+    SELECT key, array_to_string(CASE WHEN len(gone) > len(spare) THEN range(0, k) ELSE list_sort(list_concat(list_filter(range(0, k), lambda i: NOT list_contains(gone, i)), swapped)) END, ',') AS first,
+        array_to_string(CASE WHEN len(gone) > len(spare) THEN range(k, k + m) ELSE list_concat(list_filter(later, lambda i: NOT list_contains({DEMOTED}, nodes[i + 1])), list_filter(later, lambda i: list_contains({DEMOTED}, nodes[i + 1]))) END, ',') AS later FROM r"""
+
+
+@query("srt12", ATTEMPTS)
 def _(t):
-    s = t.groups.groupBy("group_id").agg(F.array_sort(F.collect_list("peer")).alias("p"))
-    tagged = F.transform("p", lambda x, i: F.struct(x.isin("n1", "n5", "n6").alias("demoted"), i.alias("idx"), x.alias("peer")))
-    return s.select("group_id", F.array_join(F.transform(F.array_sort(tagged), lambda x: x["peer"]), ",").alias("attempts"))
+    node = lambda i: F.concat(F.lit("n"), ((F.col("key").cast("long") * 3 + i) % 8).cast("string"))
+    o = lww.latest(t.meta.where("bucket = 'A'")).withColumn("nodes", F.transform(F.sequence(F.lit(0), F.col("ec_data") + F.col("ec_parity") - 1), node))
+    first, later = repair.attempt_order(F.col("nodes"), F.col("ec_data"), F.col("ec_parity"), ["n1", "n5", "n6"])
+    return o.select("key", F.array_join(first.cast("array<string>"), ",").alias("first"), F.array_join(later.cast("array<string>"), ",").alias("later"))
 
 
 INC = "(SELECT *, CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w WHEN lag(value) OVER w IS NOT NULL THEN value END AS inc, us // 300000000 AS win FROM counters WINDOW w AS (PARTITION BY node, status ORDER BY us))"
@@ -387,12 +421,18 @@ def _(t):
     return increased(t).groupBy(day().alias("day")).agg(F.round(metrics.ratio(F.col("status").startswith("5"), "inc"), 9).alias("ratio"))
 
 
-QUANT = "(SELECT node, round(low + (le - low) * ({q} * total - below) / (n - below), 9) AS quantile FROM (SELECT *, max(n) OVER (PARTITION BY node) AS total, coalesce(lag(le) OVER (PARTITION BY node ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY node ORDER BY le), 0) AS below FROM buckets_le) WHERE n >= {q} * total AND below < {q} * total)"
+RATES = "(SELECT day, le, sum(n / 86400.0::DOUBLE) AS n FROM buckets_day GROUP BY day, le)"
+QUANT = f"(SELECT day, round(low + (le - low) * (0.99::DOUBLE * total - below) / (n - below), 6) AS quantile FROM (SELECT *, max(n) OVER (PARTITION BY day) AS total, coalesce(lag(le) OVER (PARTITION BY day ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY day ORDER BY le), 0) AS below FROM {RATES}) WHERE n >= 0.99::DOUBLE * total AND below < 0.99::DOUBLE * total)"
+
+
+def daily_p99(t: Tables) -> DataFrame:
+    rates = t.buckets_day.groupBy("day", "le").agg(F.sum(F.col("n") / 86400.0).alias("n"))
+    return metrics.histogram_quantile(rates, 0.99, "day").select("day", F.round("quantile", 6).alias("quantile"))
 
 
-@query("pm02", f"SELECT * FROM {QUANT.format(q='0.99::DOUBLE')}")
+@query("pm02", f"SELECT * FROM {QUANT}")
 def _(t):
-    return metrics.histogram_quantile(t.buckets_le, 0.99, "node").select("node", F.round("quantile", 9).alias("quantile"))
+    return daily_p99(t)
 
 
 @query("pm03", f"SELECT node, status, win, sum(inc)::BIGINT AS increase FROM {INC} GROUP BY 1, 2, 3 HAVING sum(inc) > 0")
@@ -416,7 +456,7 @@ def _(t):
     return r.withColumn("held", F.col("us") - F.min("us").over(Window.partitionBy("node", "run_id").orderBy("us"))).where("held >= 3600000000").select("node", "us")
 
 
-@query("pm07", f"SELECT a.node, a.quantile > 2 * b.quantile AS diverged FROM {QUANT.format(q='0.99::DOUBLE')} a JOIN {QUANT.format(q='0.5::DOUBLE')} b USING (node)")
+@query("pm07", f"SELECT a.day, a.quantile > 2 * b.quantile AS diverged FROM {QUANT} a JOIN {QUANT} b ON b.day = a.day - 1")
 def _(t):
-    a = metrics.histogram_quantile(t.buckets_le, 0.99, "node").withColumnRenamed("quantile", "new")
-    return a.join(metrics.histogram_quantile(t.buckets_le, 0.5, "node"), "node").select("node", (F.col("new") > 2 * F.col("quantile")).alias("diverged"))
+    before = daily_p99(t).select((F.col("day") + 1).alias("day"), F.col("quantile").alias("was"))
+    return daily_p99(t).join(before, "day").select("day", (F.col("quantile") > 2 * F.col("was")).alias("diverged"))
\ No newline at end of file

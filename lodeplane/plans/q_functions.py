@@ -9,7 +9,7 @@ from ..functions import scalars as fn
 from ..operators import lifecycle, lww
 from ..sources import sinks
 from ..streaming import folds
-from .q_joins import GLOB, IP
+from .q_joins import GLOB
 from .q_sources import rows
 from .registry import query
 
@@ -38,14 +38,25 @@ def _(t):
     return actions.crossJoin(F.broadcast(s)).select("action", "effect", "pattern", ok.alias("ok"))
 
 
-CIDRS = "('10.0.0.0/8'), ('10.1.0.0/16'), ('10.2.3.0/24'), ('0.0.0.0/0'), ('10.3.255.7/32')"
-IN = f"{IP.format(c='ip')} // CAST(power(2, 32 - CAST(split_part(cidr, '/', 2) AS INT)) AS BIGINT) = {IP.format(c='base')} // CAST(power(2, 32 - CAST(split_part(cidr, '/', 2) AS INT)) AS BIGINT)"
+CIDRS = "('10.0.0.0/8'), ('10.1.0.0/16'), ('10.2.3.0/24'), ('0.0.0.0/0'), ('10.3.255.7/32'), ('2001:db8::/32'), ('::/0'), ('fe80::/10'), ('::1/128'), ('2001:db8:0:0:8:800:200c:4170/124')"
+MORE_IPS = "('2001:db8::1'), ('2001:DB8:0:0:8:800:200c:417a'), ('::1'), ('febf::1:2'), ('fec0::'), ('bad'), ('10.0.0.300'), (':1'), ('1::2::3'), ('1:2:3:4:5:6:7::8')"
+SIDE = "list_filter(string_split(split_part(lower({c}), '::', {k}), ':'), lambda g: g <> '')"
+GROUP = "[0-9a-f]{1,4}"
+# binary digits of an address of either family, null where it is none
+V4 = "CASE WHEN regexp_full_match({c}, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}') THEN array_to_string(list_transform(string_split({c}, '.'), lambda g: lpad(bin(TRY_CAST(g AS INTEGER)), 8, '0')), '') END"
+V6 = "CASE WHEN regexp_full_match(lower({c}), '(<g>:){7}<g>') OR (regexp_full_match(lower({c}), '((<g>:)*<g>)?::((<g>:)*<g>)?') AND len(<l>) + len(<r>) <= 7) THEN array_to_string(list_transform(list_concat(list_concat(<l>, list_transform(range(0, 8 - len(<l>) - len(<r>)), lambda i: '0')), <r>), lambda g: lpad(bin(TRY_CAST(concat('0x', g) AS INTEGER)), 16, '0')), '') END"
 
 
-@query("fn04", f"SELECT ip, cidr, {IN} AS inside FROM (SELECT DISTINCT ip FROM requests) CROSS JOIN (SELECT cidr, split_part(cidr, '/', 1) AS base FROM (VALUES {CIDRS}) AS c(cidr))")
+def digits(c: str) -> str:
+    v6 = V6.replace("<g>", GROUP).replace("<l>", SIDE.replace("{k}", "1")).replace("<r>", SIDE.replace("{k}", "2"))
+    return f"coalesce({V4}, {v6})".replace("{c}", c)
+
+
+@query("fn04", f"WITH i AS (SELECT DISTINCT ip FROM requests UNION SELECT ip FROM (VALUES {MORE_IPS}) AS m(ip)), a AS (SELECT ip, {digits('ip')} AS d FROM i), c AS (SELECT cidr, CAST(split_part(cidr, '/', 2) AS INT) AS n, {digits('base')} AS b FROM (SELECT cidr, split_part(cidr, '/', 1) AS base FROM (VALUES {CIDRS}) AS v(cidr))) SELECT ip, cidr, coalesce(length(d) = length(b) AND d[1:n] = b[1:n], false) AS inside, d IS NOT NULL AND NOT (length(d) = length(b) AND d[1:n] = b[1:n]) AS outside FROM a CROSS JOIN c")
 def _(t):
-    ips = t.requests.select("ip").distinct()
-    return ips.crossJoin(F.broadcast(rows(t, f"{CIDRS} AS c(cidr)"))).select("ip", "cidr", fn.in_cidr(F.col("ip"), F.col("cidr")).alias("inside"))
+    ips = t.requests.select("ip").union(rows(t, f"{MORE_IPS} AS m(ip)")).distinct()
+    inside = fn.in_cidr(F.col("ip"), F.col("cidr"))
+    return ips.crossJoin(F.broadcast(rows(t, f"{CIDRS} AS c(cidr)"))).select("ip", "cidr", inside.alias("inside"), (fn.is_address(F.col("ip")) & ~inside).alias("outside"))
 
 
 @query("fn05", f"SELECT req, action <> 's3:ListBucket' OR {GLOB.format(s='resource', p=chr(39) + '*/logs/*' + chr(39))} AS ok FROM requests")
@@ -53,10 +64,13 @@ def _(t):
     return t.requests.select("req", ((F.col("action") != "s3:ListBucket") | fn.glob(F.col("resource"), F.lit("*/logs/*"))).alias("ok"))
 
 
-@query("fn06", r"SELECT DISTINCT resource, regexp_extract(resource, '^arn:aws:s3:::([^/]*)(/(.*))?$', 1) AS bucket, regexp_extract(resource, '^arn:aws:s3:::([^/]*)(/(.*))?$', 3) AS key, ends_with(resource, '/4') AS mode FROM requests")
+REST = "regexp_replace(resource, '^arn:aws:s3:::', '')"
+
+
+@query("fn06", f"SELECT resource, CASE WHEN ends_with({REST}, '/*') THEN left({REST}, length({REST}) - 2) ELSE split_part({REST}, '/', 1) END AS bucket, CASE WHEN ends_with({REST}, '/*') OR strpos({REST}, '/') = 0 THEN '' ELSE substr({REST}, strpos({REST}, '/') + 1) END AS key, ends_with({REST}, '/*') AS mode FROM (SELECT resource FROM requests UNION SELECT resource FROM statements)")
 def _(t):
-    arn = r"^arn:aws:s3:::([^/]*)(/(.*))?$"
-    return t.requests.select("resource").distinct().select("resource", F.regexp_extract("resource", arn, 1).alias("bucket"), F.regexp_extract("resource", arn, 3).alias("key"), F.col("resource").endswith("/4").alias("mode"))
+    bucket, key, mode = fn.arn(F.col("resource"))
+    return t.requests.select("resource").union(t.statements.select("resource")).distinct().select("resource", bucket.alias("bucket"), key.alias("key"), mode.alias("mode"))
 
 
 RANGES = "('bytes=0-9', 100), ('bytes=90-200', 100), ('bytes=50-', 100), ('bytes=-10', 100), ('bytes=-500', 100), ('bytes=100-', 100), ('bytes=9-3', 100), ('items=0-1', 100), ('bytes=-0', 100), ('bytes=0-0', 0)"
@@ -154,9 +168,10 @@ def _(t):
     return t.parts.select("etag", (F.btrim(F.btrim(shown), F.lit('"')) == F.col("etag")).alias("same"))
 
 
-@query("fn22", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc FROM events")
+@query("fn22", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc, epoch(strptime(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ'))::BIGINT AS seconds FROM events")
 def _(t):
-    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rfc"))
+    shown = t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rfc"))
+    return shown.withColumn("seconds", F.unix_timestamp(F.to_timestamp("rfc", "yyyy-MM-dd'T'HH:mm:ssX")))
 
 
 @query("fn23", "SELECT node_id, us, CASE WHEN disk_pct / 100 >= 0.9 THEN 'critical' WHEN disk_pct / 100 >= 0.8 THEN 'warn' ELSE 'ok' END AS level FROM node_stats")
@@ -258,7 +273,7 @@ def _(t):
     return t.event_log.withColumn("age", age).select("event_id", folds.cache_state(F.col("age"), 3_600_000_000, 3_600_000_000).alias("state"))
 
 
-@query("st08", "SELECT node_id, us, disk_pct FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY us DESC) AS r FROM node_stats WHERE us > (SELECT max(us) FROM node_stats) - 7200000000) WHERE r = 1")
+@query("st08", "SELECT node_id, us, disk_pct FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY us DESC, disk_pct DESC, avail DESC, rps DESC) AS r FROM node_stats WHERE us > (SELECT max(us) FROM node_stats) - 7200000000) WHERE r = 1")
 def _(t):
     from ..operators import balance
 

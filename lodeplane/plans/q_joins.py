@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import balance, lifecycle, lww, policy, repair
@@ -64,16 +64,16 @@ def _(t):
     return matched(t).select("req", "policy", "pos", "effect")
 
 
-BUCKET_HITS = f"SELECT r.req, s.policy, s.pos, s.effect FROM requests r JOIN bucket_policies b USING (bucket) JOIN statements s USING (policy) WHERE {GLOB.format(s='r.action', p='s.action')} AND {GLOB.format(s='r.resource', p='s.resource')} AND {INCIDR}"
+REST = "regexp_replace({c}, '^arn:aws:s3:::', '')"
+KEY = f"CASE WHEN strpos({REST}, '/') = 0 THEN '' ELSE substr({REST}, strpos({REST}, '/') + 1) END"
+NAMED = f"CASE WHEN ends_with(s.resource, '/*') THEN left({REST.format(c='s.resource')}, length({REST.format(c='s.resource')}) - 2) = r.bucket ELSE split_part({REST.format(c='s.resource')}, '/', 1) = r.bucket AND {KEY.format(c='s.resource')} = {KEY.format(c='r.resource')} END"
+BELOW = "(s.resource = r.resource OR (ends_with(s.resource, '/*') AND (r.resource = left(s.resource, length(s.resource) - 2) OR starts_with(r.resource, left(s.resource, length(s.resource) - 1)))))"
+BUCKET_HITS = "SELECT r.req, s.pos, s.effect FROM requests r JOIN bucket_statements s USING (bucket) WHERE s.principal IN ('*', r.principal) AND (s.action = r.action OR (ends_with(s.action, ':*') AND starts_with(r.action, left(s.action, length(s.action) - 1)))) AND "
 
 
-def bucket_matched(t: Tables) -> DataFrame:
-    return policy.hits(t.requests, t.bucket_policies.join(t.statements, "policy"), ["bucket"])
-
-
-@query("jon06", BUCKET_HITS)
+@query("jon06", BUCKET_HITS + NAMED)
 def _(t):
-    return bucket_matched(t).select("req", "policy", "pos", "effect")
+    return policy.bucket_hits(t.requests, t.bucket_statements, True).select("req", "pos", "effect")
 
 
 FOLD = "SELECT req, bool_or(effect = 'Deny') AS deny, min_by(concat(policy, '/', pos), (policy, pos)) FILTER (WHERE effect = 'Deny') AS dl, max_by(concat(policy, '/', pos), (policy, pos)) FILTER (WHERE effect = 'Allow') AS al FROM ({m}) GROUP BY req"
@@ -85,19 +85,15 @@ def _(t):
     return policy.decide(t.requests, matched(t))
 
 
-@query("flt24", f"SELECT i.req, CASE WHEN i.decision = 'Deny' THEN 'iam' WHEN i.decision = 'Allow' THEN 'iam' WHEN b.decision <> 'ImplicitDeny' THEN 'bucket' ELSE 'acl' END AS layer, CASE WHEN i.decision = 'ImplicitDeny' THEN CASE WHEN b.decision = 'ImplicitDeny' THEN i.req % 7 = 0 ELSE b.decision = 'Allow' END ELSE i.decision = 'Allow' END AS allow FROM ({DECIDE.format(f=FOLD.format(m=MATCHED))}) i JOIN ({DECIDE.format(f=FOLD.format(m=BUCKET_HITS))}) b USING (req)")
+@query("flt24", f"WITH i AS ({DECIDE.format(f=FOLD.format(m=MATCHED))}), b AS (SELECT req, bool_or(effect = 'Allow') AND NOT bool_or(effect = 'Deny') AS ok FROM ({BUCKET_HITS + NAMED}) GROUP BY req), d AS (SELECT r.req, i.decision = 'Allow' AS granted, ends_with(r.action, 'BucketPolicy') OR r.bucket NOT IN (SELECT bucket FROM bucket_statements) OR coalesce(b.ok, false) AS passes, r.req % 4 AS acl, r.req % 5 <> 0 AS keyed, r.action IN ('s3:GetObject', 's3:HeadObject', 's3:ListBucket') AS is_read FROM requests r JOIN i USING (req) LEFT JOIN b USING (req)), e AS (SELECT *, (acl & 2) > 0 OR ((acl & 1) > 0 AND is_read) OR keyed AS by_acl FROM d) SELECT req, granted AND passes AND by_acl AS allow, CASE WHEN NOT granted THEN 'iam_grant' WHEN NOT passes THEN 'bucket_policy' WHEN NOT by_acl THEN 'object_acl' WHEN (acl & 2) > 0 THEN 'object_acl_public_read_write' WHEN (acl & 1) > 0 AND is_read THEN 'object_acl_public_read' ELSE 'object_acl_authenticated' END AS layer, CASE WHEN NOT granted THEN 'no_grant' WHEN NOT passes THEN 'policy_deny' WHEN NOT by_acl THEN CASE WHEN keyed THEN 'acl_private_denied' ELSE 'acl_anonymous_denied' END END AS reason FROM e")
 def _(t):
-    iam = policy.decide(t.requests, matched(t))
-    own = policy.decide(t.requests, bucket_matched(t)).select("req", F.col("decision").alias("b"))
-    implicit = F.col("decision") == "ImplicitDeny"
-    layer = F.when(~implicit, "iam").when(F.col("b") != "ImplicitDeny", "bucket").otherwise("acl")
-    allow = F.when(~implicit, F.col("decision") == "Allow").when(F.col("b") != "ImplicitDeny", F.col("b") == "Allow").otherwise(F.col("req") % 7 == 0)
-    return iam.join(own, "req").select("req", layer.alias("layer"), allow.alias("allow"))
+    requests = t.requests.withColumn("acl", F.col("req") % 4).withColumn("keyed", F.col("req") % 5 != 0)
+    return policy.layered(requests, policy.decide(t.requests, matched(t)), t.bucket_statements)
 
 
-@query("flt26", f"SELECT req, bool_or(effect = 'Allow') AND NOT bool_or(effect = 'Deny') AS allowed FROM ({BUCKET_HITS}) GROUP BY req")
+@query("flt26", f"SELECT r.req, coalesce(b.ok, false) AS allowed FROM requests r LEFT JOIN (SELECT req, bool_or(effect = 'Allow') AND NOT bool_or(effect = 'Deny') AS ok FROM ({BUCKET_HITS + BELOW}) GROUP BY req) b USING (req)")
 def _(t):
-    return bucket_matched(t).groupBy("req").agg((F.bool_or(F.col("effect") == "Allow") & ~F.bool_or(F.col("effect") == "Deny")).alias("allowed"))
+    return policy.allowed(t.requests, policy.bucket_hits(t.requests, t.bucket_statements, False)).select("req", "allowed")
 
 
 @query("jon07", "SELECT DISTINCT bucket, key FROM meta WHERE replica = 0 AND (bucket, key) NOT IN (SELECT (bucket, key) FROM latest WHERE NOT is_delete_marker)")
@@ -159,23 +155,25 @@ PRESENT = "(SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key, CAS
 STATES = f"SELECT e.key, e.idx, CASE WHEN p.read IS NULL THEN 'missing' WHEN p.read = 'error' THEN 'unverified' WHEN NOT p.ok THEN 'corrupt' ELSE 'healthy' END AS state FROM {EXPECTED} e LEFT JOIN {PRESENT} p USING (key, idx)"
 
 
-def states(t: Tables) -> DataFrame:
+def states(t: Tables, owned: Column | None = None) -> DataFrame:
     base = lww.latest(t.meta.where("bucket = 'A'"))
     expected = base.select("key", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("ec_data") + F.col("ec_parity") - 1).cast("long"))).alias("idx"))
+    expected = expected if owned is None else expected.where(owned)
     sum_ = F.col("l_partkey") + F.col("l_linenumber")
     present = t.lineitem.select(F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("key"), (F.col("l_linenumber") - 1).cast("long").alias("idx"), (sum_ % 5 != 0).alias("ok"), F.when(sum_ % 7 == 0, "error").otherwise("ok").alias("read")).distinct()
     return repair.shard_states(expected, present)
 
 
-@query("jon15", STATES)
+@query("jon15", f"SELECT key, idx, state FROM ({STATES}) WHERE (CAST(key AS BIGINT) + idx) % 8 = 1")
 def _(t):
-    return states(t).select("key", "idx", "state")
+    # the placement vector of a key names the node of each shard; the node looks after its own
+    return states(t, (F.col("key").cast("long") + F.col("idx")) % 8 == 1).select("key", "idx", "state")
 
 
 @query("jon16", "SELECT key, peer FROM (SELECT key, peer, row_number() OVER (PARTITION BY key ORDER BY sha256(key || '/' || peer), peer) AS r FROM (SELECT DISTINCT key FROM latest) CROSS JOIN (SELECT DISTINCT peer FROM groups)) WHERE r = 1")
 def _(t):
     keys = lww.latest(t.meta, markers=True).select("key").distinct()
-    return balance.rendezvous(keys, t.groups.select("peer").distinct(), "key", "peer").where("rank = 1").select("key", "peer")
+    return balance.rendezvous(keys, t.groups.select("peer").distinct(), "key", "peer", 1).select("key", "peer")
 
 
 @query("jon17", "SELECT key FROM latest WHERE bucket = 'N' AND NOT is_delete_marker AND key NOT IN (SELECT key FROM latest WHERE bucket = 'R' AND NOT is_delete_marker)")
@@ -195,13 +193,13 @@ def _(t):
     return o.join(q, "upload_id").where("at >= start AND at < start + size").select("upload_id", "part_number", "etag", (F.col("at") - F.col("start")).alias("inside"))
 
 
-@query("jon19", f"SELECT p.peer AS removed, count(*) FILTER (WHERE g.alive) AS alive, count(*) // 2 + 1 AS quorum, count(*) FILTER (WHERE g.alive) >= count(*) // 2 + 1 AS ok FROM (SELECT DISTINCT peer FROM groups) p JOIN (SELECT DISTINCT peer, disk_pct < 80 AS alive FROM groups JOIN {LAST_STATS} s ON s.node_id = peer) g ON g.peer <> p.peer GROUP BY p.peer")
+@query("jon19", f"WITH p AS (SELECT peer, peer <> 'n7' AS voter, coalesce(disk_pct >= 108, false) AS blocks, coalesce(disk_pct < 80, false) AS alive FROM (SELECT DISTINCT peer FROM groups) LEFT JOIN {LAST_STATS} s ON s.node_id = peer), t AS (SELECT peer AS removed FROM p UNION ALL SELECT 'n9'), g AS (SELECT removed, bool_or(peer = removed) AS here, count(*) FILTER (WHERE peer <> removed AND voter) // 2 + 1 AS quorum, coalesce(string_agg(peer, ',' ORDER BY peer) FILTER (WHERE peer <> removed AND blocks), '') AS list, count(*) FILTER (WHERE peer <> removed AND voter AND alive) AS n FROM t CROSS JOIN p GROUP BY removed) SELECT removed, quorum, CASE WHEN here THEN list ELSE '' END AS blocking, CASE WHEN here AND list = '' THEN n ELSE 0 END AS alive, CASE WHEN NOT here THEN 'not-in-cluster' WHEN list <> '' THEN 'identity-unresolved' WHEN n < quorum THEN 'quorum-would-break' ELSE 'allowed' END AS verdict FROM g")
 def _(t):
-    peers = t.groups.select("peer").distinct()
-    alive = peers.join(balance.current(t.node_stats).select(F.col("node_id").alias("peer"), (F.col("disk_pct") < 80).alias("alive")), "peer")
-    both = peers.select(F.col("peer").alias("removed")).join(F.broadcast(alive), F.col("removed") != F.col("peer"))
-    quorum = F.floor(F.count("*") / 2) + 1
-    return both.groupBy("removed").agg(F.count_if("alive").alias("alive"), quorum.alias("quorum"), (F.count_if("alive") >= quorum).alias("ok"))
+    s = balance.current(t.node_stats).select(F.col("node_id").alias("peer"), "disk_pct")
+    no = F.lit(False)
+    peers = t.groups.select("peer").distinct().join(s, "peer", "left").select("peer", (F.col("peer") != "n7").alias("voter"), F.coalesce(F.col("disk_pct") >= 108, no).alias("blocks"), F.coalesce(F.col("disk_pct") < 80, no).alias("alive"))
+    targets = t.groups.select(F.col("peer").alias("removed")).distinct().union(rows(t, "('n9') AS v(removed)"))
+    return balance.remove_peer(targets, peers)
 
 
 @query("jon20", f"SELECT g.group_id, min_by(s.node_id, (s.disk_pct, s.node_id)) AS replacement FROM (SELECT group_id FROM groups WHERE peer = 'n2') g CROSS JOIN {LAST_STATS} s WHERE s.node_id <> 'n2' AND NOT EXISTS (SELECT 1 FROM groups m WHERE m.group_id = g.group_id AND m.peer = s.node_id) GROUP BY g.group_id")
@@ -218,9 +216,10 @@ def _(t):
     return repair.orphans(newest, t.chunk_refs, "chunk").withColumn("kind", F.when(120000 - F.col("newest") > 60000, "stale").otherwise("live"))
 
 
-@query("jon22", "SELECT g.sa, string_agg(g.grp, ',' ORDER BY g.grp) AS grps FROM sa_groups g GROUP BY g.sa")
+@query("jon22", "SELECT 'groups' AS kind, sa AS name, string_agg(grp, ',' ORDER BY grp) AS list FROM sa_groups GROUP BY sa UNION ALL SELECT 'members', grp, string_agg(sa, ',' ORDER BY sa) FROM sa_groups GROUP BY grp UNION ALL SELECT 'keys', sa, string_agg(access_key, ',' ORDER BY created, access_key) FROM sa_keys GROUP BY sa")
 def _(t):
-    return t.sa_groups.groupBy("sa").agg(F.array_join(F.array_sort(F.collect_list("grp")), ",").alias("grps"))
+    of = lambda kind, d, name, *order: d.groupBy(F.lit(kind).alias("kind"), F.col(name).alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[order[-1]]), ",").alias("list"))
+    return of("groups", t.sa_groups, "sa", "grp").unionByName(of("members", t.sa_groups, "grp", "sa")).unionByName(of("keys", t.sa_keys, "sa", "created", "access_key"))
 
 
 CONFIG = "('a.interval', '60'), ('b.limit', '50'), ('c.mode', 'auto')"
@@ -290,13 +289,7 @@ def _(t):
 
 @query("lc05", f"SELECT action, count(*) AS matches, count(DISTINCT concat(bucket, '/', key, '/', version_id)) AS n FROM (SELECT 'expire' AS action, * FROM ({CURRENT}) UNION ALL SELECT 'marker', * FROM ({MARKERS}) UNION ALL SELECT 'noncurrent', * FROM ({NONCURRENT})) GROUP BY action")
 def _(t):
-    r = ranked(t)
-    kinds = {"expire": lifecycle.expired_current(r, t.rules, NOW), "marker": lifecycle.dangling_markers(r, t.rules), "noncurrent": lifecycle.expired_noncurrent(r, t.rules, NOW)}
-    every = None
-    for name, d in kinds.items():
-        d = d.select(F.lit(name).alias("action"), *ID)
-        every = d if every is None else every.unionByName(d)
-    return every.groupBy("action").agg(F.count("*").alias("matches"), F.count_distinct("bucket", "key", "version_id").alias("n"))
+    return lifecycle.actions(ranked(t), t.rules, NOW).groupBy("action").agg(F.count("*").alias("matches"), F.count_distinct("bucket", "key", "version_id").alias("n"))
 
 
 @query("gc01", "SELECT DISTINCT chunk, t_zero FROM tombstones t WHERE 120000 - t_zero > 3600 AND NOT EXISTS (SELECT 1 FROM chunk_refs r WHERE r.chunk = t.chunk)")

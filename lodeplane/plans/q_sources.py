@@ -59,7 +59,7 @@ def _(t):
     return lww.versions(t.meta).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("is_hard_deleted").alias("hard"))
 
 
-@query("src09", "SELECT event_id, ts_ns, type FROM event_log WHERE ts_ns >= 1704153600000000000 AND ts_ns <= 1704672000000000000 AND type IN ('click', 'error') ORDER BY ts_ns LIMIT 200")
+@query("src09", "SELECT event_id, ts_ns, type FROM event_log WHERE ts_ns >= 1704153600000000000 AND ts_ns <= 1704672000000000000 AND type IN ('click', 'error') ORDER BY ts_ns, event_id LIMIT 200")
 def _(t):
     return sinks.query_events(t.event_log, 1704153600000000000, 1704672000000000000, 200, ["click", "error"]).select("event_id", "ts_ns", "type")
 
@@ -69,11 +69,13 @@ def _(t):
     return t.customer.where("c_name >= 'Customer#00000001' AND c_name < 'Customer#00000002'").select("c_name", "c_custkey")
 
 
-@query("src11", "SELECT bucket, key, 'segment' AS kind, CAST(i AS BIGINT) AS idx FROM latest, unnest(range(0, size // 16 + 1)) AS u(i) WHERE NOT is_delete_marker UNION ALL SELECT bucket, key, 'object', CAST(0 AS BIGINT) FROM latest WHERE NOT is_delete_marker AND ec_parity > 0")
+@query("src11", "SELECT bucket, key, 'segment' AS kind, CAST(i AS BIGINT) AS idx FROM latest, unnest(range(0, size // 16 + 1)) AS u(i) WHERE NOT is_delete_marker UNION ALL SELECT bucket, key, 'coalesced', CAST(i AS BIGINT) FROM latest, unnest(range(0, size // 32)) AS u(i) WHERE NOT is_delete_marker UNION ALL SELECT bucket, key, 'object', CAST(0 AS BIGINT) FROM latest WHERE NOT is_delete_marker AND ec_parity > 0")
 def _(t):
-    base = lww.latest(t.meta)
-    segments = base.select("bucket", "key", F.lit("segment").alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / 16))).alias("idx"))
-    return segments.unionByName(base.where("ec_parity > 0").select("bucket", "key", F.lit("object").alias("kind"), F.lit(0).cast("long").alias("idx")))
+    named = lambda kind, idx: F.transform(idx, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("idx")))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    segments, coalesced = F.floor(F.col("size") / 16) + 1, F.floor(F.col("size") / 32)
+    targets = F.concat(named("segment", upto(segments)), named("coalesced", upto(coalesced)), named("object", upto((F.col("ec_parity") > 0).cast("long"))))
+    return lww.latest(t.meta).select("bucket", "key", F.inline(targets))
 
 
 @query("src12", "SELECT bucket, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 100 AS page, key FROM latest WHERE NOT is_delete_marker")
@@ -92,9 +94,10 @@ def _(t):
     return g.where("not retired").select("epoch", "group_id", F.row_number().over(Window.orderBy(F.desc("epoch"), "group_id")).alias("probe"))
 
 
-@query("src15", "SELECT DISTINCT bucket FROM event_log WHERE regexp_full_match(concat(bucket, '-x'), '[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]')")
+@query("src15", "SELECT name FROM (SELECT DISTINCT concat(CASE WHEN p_size % 5 = 0 THEN '__' ELSE '' END, lower(replace(p_brand, '#', '-'))) AS name FROM part) WHERE NOT starts_with(name, '__') ORDER BY name")
 def _(t):
-    return t.event_log.select("bucket").distinct().where(fn.valid_bucket(F.concat("bucket", F.lit("-x"))))
+    name = F.concat(F.when(F.col("p_size") % 5 == 0, "__").otherwise(""), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
+    return listing.user_buckets(t.part.select(name.alias("name")))
 
 
 @query("snk01", "SELECT event_id, ts_ns FROM event_log WHERE ts_ns > (SELECT max(ts_ns) FROM event_log) - 604800000000000")
@@ -195,9 +198,15 @@ def _(t):
     return d.select(*ID, policy.http_conditions().alias("status"))
 
 
-@query("flt07", "SELECT bucket, key, version_id, CASE WHEN m IS NOT NULL AND trim(m, '\"') <> etag THEN 412 WHEN mod_time > 978307200 THEN 412 WHEN nm IS NOT NULL AND trim(nm, '\"') = etag THEN 412 WHEN mod_time <= 852076800 THEN 412 ELSE 200 END AS status FROM (SELECT *, CASE size % 4 WHEN 0 THEN '\"' || etag || '\"' WHEN 1 THEN '*' END AS m, CASE size % 6 WHEN 2 THEN etag END AS nm FROM latest)")
+BARE = "regexp_replace(trim({c}), '^\"|\"$', '', 'g')"
+REFUSED = "({c} LIKE '%,%' OR starts_with(trim({c}), 'W/'))"
+COPY = """SELECT bucket, key, version_id, CASE WHEN """ + REFUSED.format(c="m") + " THEN 400 WHEN " + BARE.format(c="m") + " <> etag THEN 412 WHEN mod_time > 978307200 THEN 412 WHEN " + REFUSED.format(c="nm") + " THEN 400 WHEN " + BARE.format(c="nm") + """ = etag THEN 412 WHEN mod_time <= 852076800 THEN 412 ELSE 200 END AS status
+    FROM (SELECT *, nullif(CASE size % 8 WHEN 0 THEN '"' || etag || '"' WHEN 1 THEN '*' WHEN 2 THEN 'W/"' || etag || '"' WHEN 3 THEN '"' || etag || '", "x"' WHEN 4 THEN ' ' || etag || ' ' WHEN 5 THEN '' END, '') AS m, nullif(CASE size % 9 WHEN 2 THEN etag WHEN 4 THEN 'W/"x"' WHEN 6 THEN '"y"' WHEN 8 THEN '' END, '') AS nm FROM latest)"""
+
+
+@query("flt07", COPY)
 def _(t):
-    d = lww.latest(t.meta, markers=True).withColumns({"if_match": F.expr("CASE size % 4 WHEN 0 THEN concat('\"', etag, '\"') WHEN 1 THEN '*' END"), "if_none_match": F.expr("CASE size % 6 WHEN 2 THEN etag END")})
+    d = lww.latest(t.meta, markers=True).withColumns({"if_match": F.expr("""CASE size % 8 WHEN 0 THEN concat('"', etag, '"') WHEN 1 THEN '*' WHEN 2 THEN concat('W/"', etag, '"') WHEN 3 THEN concat('"', etag, '", "x"') WHEN 4 THEN concat(' ', etag, ' ') WHEN 5 THEN '' END"""), "if_none_match": F.expr("""CASE size % 9 WHEN 2 THEN etag WHEN 4 THEN 'W/"x"' WHEN 6 THEN '"y"' WHEN 8 THEN '' END""")})
     return d.select(*ID, policy.copy_conditions(978307200, 852076800).alias("status"))
 
 
@@ -229,11 +238,12 @@ def _(t):
     return lww.versions(t.meta).where("mod_time > 978307200").select(*ID)
 
 
-@query("flt13", "SELECT bucket, key FROM latest WHERE NOT is_delete_marker AND ec_data >= 1 AND ec_parity = 0 AND 1000000000 - mod_time >= 86400")
+@query("flt13", "SELECT bucket, key FROM latest WHERE NOT is_delete_marker AND ec_data >= 1 AND ec_parity = 0 AND 1000000000 - mod_time >= 86400 AND (SELECT count(DISTINCT peer) FROM groups) >= 2 AND (SELECT max(n) FROM (SELECT count(*) AS n FROM groups GROUP BY group_id)) >= 2")
 def _(t):
     from ..operators import repair
 
-    return lww.latest(t.meta).where(repair.needs_redundancy(1000000000, 86400, F.lit(True))).select("bucket", "key")
+    there = lww.latest(t.meta).crossJoin(F.broadcast(repair.redundant_capacity(t.groups)))
+    return there.where(repair.needs_redundancy(1000000000, 86400, F.col("redundant"))).select("bucket", "key")
 
 
 @query("flt14", "SELECT name, regexp_full_match(name, '[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]') AND NOT starts_with(name, '__') AS ok FROM (SELECT DISTINCT lower(replace(p_brand, '#', CASE WHEN p_size % 2 = 0 THEN '-' ELSE '_' END)) AS name FROM part)")
@@ -266,13 +276,30 @@ def _(t):
     return policy.post_policy(rows(t, f"{POST} AS p(id, op, k, v)"), rows(t, f"{FORM} AS f(k, form)"))
 
 
-PATHS = "('GET', '/', ''), ('GET', '/b', 'list-type=2'), ('PUT', '/b/k', 'partNumber=1&uploadId=u'), ('POST', '/b/k', 'uploads'), ('POST', '/b', 'delete'), ('GET', '/metrics', ''), ('GET', '/api/cluster/status', ''), ('GET', '/ui/x', ''), ('HEAD', '/b/k/j', ''), ('DELETE', '/b/k', 'uploadId=1'), ('GET', '/admin/x', ''), ('PATCH', '/b', '')"
+METHODS = "('GET'), ('PUT'), ('POST'), ('DELETE'), ('HEAD'), ('PATCH')"
+PLACES = "('/'), ('/b'), ('/b/k'), ('/b/k/j'), ('/metrics'), ('/api'), ('/api/x'), ('/api/cluster/status'), ('/api/cluster/x'), ('/admin'), ('/admin/x'), ('/ui'), ('/ui/x'), ('/metrics/x'), ('other')"
+ASKED = "(''), ('uploads'), ('uploads='), ('uploadId=1'), ('partNumber=1&uploadId=u'), ('delete'), ('policy'), ('x=1&policy'), ('versioning'), ('lifecycle'), ('versions'), ('list-type=2')"
+CALLS = f"(SELECT method, path, q, copies FROM (VALUES {METHODS}) AS a(method) CROSS JOIN (VALUES {PLACES}) AS b(path) CROSS JOIN (VALUES {ASKED}) AS c(q) CROSS JOIN (VALUES (true), (false)) AS d(copies))"
+NAMED = "list_contains(list_transform(string_split(q, '&'), lambda p: split_part(p, '=', 1)), '{k}')"
+ANYWHERE = "(q = '{k}' OR starts_with(q, '{k}&') OR contains(q, '&{k}') OR contains(q, '{k}='))"
+TITLE = "CASE method WHEN 'GET' THEN 'Get' WHEN 'PUT' THEN 'Put' WHEN 'DELETE' THEN 'Delete' ELSE 'Unknown' END"
+HAS_KEY = "contains(trim(path, '/'), '/')"
+METRIC = f"""CASE WHEN service = 'metrics' THEN 'Scrape' WHEN service IN ('cluster', 'admin') THEN CASE WHEN path = '/api/cluster/status' THEN 'Status' ELSE 'API' END WHEN service = 'dashboard' THEN 'UI' WHEN service = 'other' THEN method
+    WHEN method = 'GET' AND path = '/' THEN 'ListBuckets' WHEN method = 'POST' AND NOT {HAS_KEY} AND {NAMED.format(k='delete')} THEN 'DeleteObjects' WHEN method = 'POST' AND {HAS_KEY} AND {NAMED.format(k='uploads')} THEN 'CreateMultipartUpload'
+    WHEN method = 'PUT' AND {HAS_KEY} AND {NAMED.format(k='uploadId')} AND {NAMED.format(k='partNumber')} THEN 'UploadPart'
+    WHEN {HAS_KEY} AND {NAMED.format(k='uploadId')} AND method IN ('POST', 'DELETE', 'GET') THEN CASE method WHEN 'POST' THEN 'CompleteMultipartUpload' WHEN 'DELETE' THEN 'AbortMultipartUpload' ELSE 'ListParts' END
+    WHEN method IN ('GET', 'HEAD', 'PUT', 'DELETE') THEN CASE WHEN {HAS_KEY} THEN CASE method WHEN 'GET' THEN 'GetObject' WHEN 'HEAD' THEN 'HeadObject' WHEN 'PUT' THEN 'PutObject' ELSE 'DeleteObject' END ELSE CASE method WHEN 'GET' THEN 'ListBucket' WHEN 'HEAD' THEN 'HeadBucket' WHEN 'PUT' THEN 'CreateBucket' ELSE 'DeleteBucket' END END ELSE method END"""
+SERVICE = "CASE WHEN path = '/metrics' THEN 'metrics' WHEN starts_with(path, '/api/cluster/') THEN 'cluster' WHEN path IN ('/api', '/admin') OR starts_with(path, '/api/') OR starts_with(path, '/admin/') THEN 'admin' WHEN path = '/ui' OR starts_with(path, '/ui/') THEN 'dashboard' WHEN starts_with(path, '/') AND NOT starts_with(path, '/metrics/') THEN 's3' ELSE 'other' END"
+AUDIT = f"""CASE WHEN method = 'PUT' AND {HAS_KEY} AND copies THEN 'CopyObject' WHEN {ANYWHERE.format(k='policy')} AND method IN ('GET', 'PUT', 'DELETE') THEN concat({TITLE}, 'BucketPolicy') WHEN {ANYWHERE.format(k='versioning')} THEN concat({TITLE}, 'BucketVersioning')
+    WHEN {ANYWHERE.format(k='lifecycle')} THEN concat({TITLE}, 'BucketLifecycle') WHEN {ANYWHERE.format(k='versions')} THEN 'ListObjectVersions' WHEN method = 'GET' AND NOT {HAS_KEY} AND {ANYWHERE.format(k='uploads')} THEN 'ListMultipartUploads'
+    WHEN method = 'POST' AND {HAS_KEY} AND {ANYWHERE.format(k='uploads')} THEN 'CreateMultipartUpload' WHEN {ANYWHERE.format(k='uploadId')} AND method IN ('PUT', 'POST', 'DELETE', 'GET') THEN CASE method WHEN 'PUT' THEN 'UploadPart' WHEN 'POST' THEN 'CompleteMultipartUpload' WHEN 'DELETE' THEN 'AbortMultipartUpload' ELSE 'ListParts' END
+    WHEN NOT {HAS_KEY} AND method IN ('GET', 'HEAD', 'PUT', 'DELETE') THEN CASE method WHEN 'GET' THEN 'ListObjects' WHEN 'HEAD' THEN 'HeadBucket' WHEN 'PUT' THEN 'CreateBucket' ELSE 'DeleteBucket' END WHEN method = 'PATCH' THEN 'Unknown' ELSE concat(CASE method WHEN 'HEAD' THEN 'Head' WHEN 'POST' THEN 'Post' ELSE {TITLE} END, 'Object') END"""
 
 
-@query("flt18", f"""SELECT method, path, CASE WHEN path = '/metrics' THEN 'metrics' WHEN starts_with(path, '/api/cluster/') THEN 'cluster' WHEN path IN ('/api', '/admin') OR starts_with(path, '/api/') OR starts_with(path, '/admin/') THEN 'admin' WHEN path = '/ui' OR starts_with(path, '/ui/') THEN 'dashboard' ELSE 's3' END AS service,
-    CASE WHEN NOT (path = '/metrics' OR starts_with(path, '/api') OR starts_with(path, '/admin') OR starts_with(path, '/ui')) THEN CASE WHEN method = 'GET' AND path = '/' THEN 'ListBuckets' WHEN method = 'GET' AND path = '/b' THEN 'ListBucket' WHEN method = 'PUT' THEN 'UploadPart' WHEN method = 'POST' AND path = '/b/k' THEN 'CreateMultipartUpload' WHEN method = 'POST' THEN 'DeleteObjects' WHEN method = 'HEAD' THEN 'HeadObject' WHEN method = 'DELETE' THEN 'AbortMultipartUpload' ELSE method END END AS operation FROM (VALUES {PATHS}) AS r(method, path, q)""")
+@query("flt18", f"SELECT method, path, q, copies, service, {METRIC} AS operation, {AUDIT} AS audited FROM (SELECT *, {SERVICE} AS service FROM {CALLS})")
 def _(t):
-    return policy.routes(rows(t, f"{PATHS} AS r(method, path, q)")).select("method", "path", "service", "operation")
+    calls = rows(t, f"{METHODS} AS a(method)").crossJoin(rows(t, f"{PLACES} AS b(path)")).crossJoin(rows(t, f"{ASKED} AS c(q)")).crossJoin(rows(t, "(true), (false) AS d(copies)"))
+    return policy.routes(calls).select("method", "path", "q", "copies", "service", "operation", "audited")
 
 
 @query("flt19", "SELECT node AS grp, count(*) FILTER (WHERE type = 'error') AS errors, CASE WHEN count(*) FILTER (WHERE type = 'error') * 5 > count(*) THEN 'error_rate' END AS issue1, CASE WHEN max(us) < (SELECT max(us) FROM event_log) - 3600000000 THEN 'stale' END AS issue2 FROM event_log GROUP BY node")
@@ -283,20 +310,31 @@ def _(t):
     return g.select("grp", "errors", F.when(F.col("errors") * 5 > F.col("n"), "error_rate").alias("issue1"), F.when(F.col("last") < F.col("now") - 3600000000, "stale").alias("issue2"))
 
 
-@query("flt20", "SELECT l.bucket, l.key, CASE WHEN g.n IS NULL THEN 'unknown' WHEN l.ec_data + l.ec_parity < g.n THEN 'pending-upgrade' WHEN l.ec_data + l.ec_parity > g.n THEN 'downgrade-skipped' ELSE 'current' END AS layout FROM latest l LEFT JOIN (SELECT group_id, count(*) AS n FROM groups GROUP BY group_id) g USING (group_id) WHERE NOT l.is_delete_marker")
+NODES = "list_transform(range(0, CASE WHEN size % 11 = 0 THEN 0 WHEN size % 7 = 0 THEN ec_data + ec_parity + 1 ELSE ec_data + ec_parity END), lambda i: concat('n', (size + i) % 5))"
+PROFILES = "['1+0', '1+1', '2+1', '2+2', '3+2', '4+2', '5+2', '6+2']"
+LAYOUT = f"""WITH o AS (SELECT *, {NODES} AS nodes, coalesce(list_position({PROFILES}, concat(ec_data, '+', ec_parity)), 0) AS actual FROM latest WHERE NOT is_delete_marker),
+    g AS (SELECT group_id, list(peer) AS peers, coalesce(list_position({PROFILES}, CASE count(*) WHEN 1 THEN '1+0' WHEN 2 THEN '1+1' WHEN 3 THEN '2+1' ELSE concat(least(count(*) - 2, 6), '+2') END), 0) AS desired FROM groups GROUP BY group_id)
+    SELECT o.bucket, o.key, CASE WHEN g.peers IS NULL THEN 'unknown' WHEN len(nodes) = 0 OR len(nodes) <> ec_data + ec_parity THEN 'repair-needed' WHEN actual > 0 AND desired > 0 AND actual > desired THEN 'downgrade-skipped' WHEN NOT list_has_all(peers, nodes) OR list_contains(nodes, 'n2') THEN 'repair-needed' WHEN actual = 0 OR desired = 0 THEN 'unknown' WHEN actual < desired THEN 'pending-upgrade' ELSE 'current' END AS layout FROM o LEFT JOIN g USING (group_id)"""
+
+
+@query("flt20", LAYOUT)
 def _(t):
     from ..operators import repair
 
-    return repair.layouts(lww.latest(t.meta), t.groups).select("bucket", "key", "layout")
+    shards = F.col("ec_data") + F.col("ec_parity")
+    n = F.when(F.col("size") % 11 == 0, 0).when(F.col("size") % 7 == 0, shards + 1).otherwise(shards)
+    nodes = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("n"), ((F.col("size") + i) % 5).cast("string"))))
+    return repair.layouts(lww.latest(t.meta).withColumn("node_ids", nodes), t.groups, ["n2"]).select("bucket", "key", "layout")
 
 
-@query("flt21", "SELECT upload_id, CASE WHEN count(*) >= 6 THEN 'count' WHEN sum(size) >= 100 * 1048576 THEN 'size' WHEN max(part_number) >= 5 THEN 'idle' END AS trigger FROM parts GROUP BY upload_id")
+@query("flt21", "SELECT upload_id, CASE WHEN count(*) >= 6 THEN 'count' WHEN sum(size) >= 100 * 1048576 THEN 'size' WHEN 915148800 - min(created) >= 94608000 THEN 'idle' END AS trigger FROM parts GROUP BY upload_id")
 def _(t):
-    p = t.parts.groupBy("upload_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("part_number").alias("age"))
-    return p.select("upload_id", F.when(F.col("n") >= 6, "count").when(F.col("bytes") >= 100 * 1048576, "size").when(F.col("age") >= 5, "idle").alias("trigger"))
+    p = t.parts.groupBy("upload_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("created").alias("first"))
+    idle = 915148800 - F.col("first") >= 94608000
+    return p.select("upload_id", F.when(F.col("n") >= 6, "count").when(F.col("bytes") >= 100 * 1048576, "size").when(idle, "idle").alias("trigger"))
 
 
-LAST_STATS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY us DESC) AS r FROM node_stats) WHERE r = 1)"
+LAST_STATS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY us DESC, disk_pct DESC, avail DESC, rps DESC) AS r FROM node_stats) WHERE r = 1)"
 
 
 @query("flt22", f"SELECT node_id, disk_pct >= 60 AS is_open FROM {LAST_STATS}")
@@ -332,9 +370,8 @@ def _(t):
 
 @query("prj02", "SELECT CASE WHEN is_delete_marker THEN 'marker' ELSE 'version' END AS output, count(*) AS n FROM live WHERE bucket = 'A' GROUP BY 1")
 def _(t):
-    d = listing.scan(lww.live_versions(t.meta), "A")
-    one = lambda c, name: d.where(c).agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n").where("n > 0")
-    return one(F.col("is_delete_marker"), "marker").unionByName(one(~F.col("is_delete_marker"), "version"))
+    output = F.when(F.col("is_delete_marker"), "marker").otherwise("version").alias("output")
+    return listing.scan(lww.live_versions(t.meta), "A").groupBy(output).agg(F.count("*").alias("n"))
 
 
 @query("prj03", "SELECT bucket, key, version_id, lag(version_id) OVER w AS prev_version, lag(size) OVER w AS prev_size FROM live WINDOW w AS (PARTITION BY bucket, key ORDER BY mod_time, version_id)")

@@ -29,7 +29,7 @@ VIEWS = {
                concat('n', CAST(user_id % 8 AS STRING)) AS node, concat('b', CAST(user_id % 5 AS STRING)) AS bucket,
                concat('c', CAST(user_id AS STRING)) AS cid FROM events""",
     "heal_events": """
-        SELECT event_id, us, cid, node AS peer, bucket, CASE event_id % 4 WHEN 0 THEN 'detect' WHEN 1 THEN 'reconstruct' WHEN 2 THEN 'write' ELSE 'verify' END AS phase,
+        SELECT event_id, us, cid, concat('n', CAST(event_id // 3 % 8 AS STRING)) AS peer, bucket, CASE event_id % 4 WHEN 0 THEN 'detect' WHEN 1 THEN 'reconstruct' WHEN 2 THEN 'write' ELSE 'verify' END AS phase,
                CASE WHEN event_id % 6 = 5 THEN 'failed' ELSE 'success' END AS outcome, CAST(event_id % 7 AS INT) - 1 AS shard_id FROM event_log""",
     "node_stats": """
         SELECT node AS node_id, us, (event_id * 37 % 1200) / 1e1 - 5 AS disk_pct, event_id * 7919 % 100000 AS avail, event_id * 13 % 101 / 1e0 - 1 AS rps FROM event_log""",
@@ -38,7 +38,7 @@ VIEWS = {
                EPOCH_US(o_orderdate) // 1000000 AS initiated FROM orders""",
     "parts": """
         SELECT CAST(l_orderkey AS STRING) AS upload_id, l_linenumber AS part_number, CAST(l_quantity AS BIGINT) * 1048576 AS size,
-               md5(concat(CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING))) AS etag FROM lineitem""",
+               md5(concat(CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING))) AS etag, EPOCH_US(l_shipdate) // 1000000 AS created FROM lineitem""",
     "chunk_refs": """
         SELECT concat('m', CAST(l_orderkey AS STRING)) AS manifest, concat('k', CAST(l_partkey - l_partkey % 3 AS STRING)) AS chunk FROM lineitem""",
     "tombstones": """
@@ -58,7 +58,7 @@ VIEWS = {
         SELECT * FROM (VALUES ('g0', 'n0'), ('g0', 'n1'), ('g0', 'n2'), ('g1', 'n1'), ('g1', 'n2'), ('g1', 'n3'), ('g1', 'n4'), ('g2', 'n0'), ('g2', 'n5'), ('g3', 'n2'), ('g3', 'n3'), ('g3', 'n6'), ('g3', 'n7'), ('g4', 'n4'))
             AS g(group_id, peer)""",
     "requests": """
-        SELECT event_id AS req, concat('sa', CAST(user_id % 6 AS STRING)) AS principal, bucket, CASE event_id % 4 WHEN 0 THEN 's3:GetObject' WHEN 1 THEN 's3:PutObject' WHEN 2 THEN 's3:ListBucket' ELSE 's3:DeleteObject' END AS action,
+        SELECT event_id AS req, concat('sa', CAST(user_id % 6 AS STRING)) AS principal, bucket, CASE event_id % 4 WHEN 0 THEN 's3:GetObject' WHEN 1 THEN 's3:PutObject' WHEN 2 THEN 's3:ListBucket' ELSE CASE WHEN event_id % 8 = 3 THEN 's3:DeleteObject' ELSE 's3:PutBucketPolicy' END END AS action,
                concat('arn:aws:s3:::', bucket, '/', CASE WHEN event_id % 3 = 0 THEN 'logs/' ELSE 'data/' END, CAST(event_id % 50 AS STRING)) AS resource,
                concat('10.', CAST(event_id % 4 AS STRING), '.', CAST(event_id % 256 AS STRING), '.7') AS ip FROM event_log""",
     "statements": """
@@ -68,12 +68,20 @@ VIEWS = {
     "sa_policies": "SELECT * FROM (VALUES ('sa0', 'p-read'), ('sa1', 'p-write'), ('sa2', 'p-admin'), ('sa2', 'p-nolog'), ('sa3', 'p-gone')) AS e(sa, policy)",
     "sa_groups": "SELECT * FROM (VALUES ('sa3', 'ops'), ('sa4', 'ops'), ('sa4', 'dev'), ('sa1', 'dev')) AS e(sa, grp)",
     "group_policies": "SELECT * FROM (VALUES ('ops', 'p-logs'), ('ops', 'p-read'), ('dev', 'p-write')) AS e(grp, policy)",
+    "bucket_statements": """
+        SELECT * FROM (VALUES ('b0', 0, 'Allow', '*', 's3:GetObject', 'arn:aws:s3:::b0/*'), ('b0', 1, 'Deny', 'sa1', 's3:*', 'arn:aws:s3:::b0/logs/*'), ('b0', 2, 'Deny', '*', 's3:GetObject', 'arn:aws:s3:::b0/data/4'),
+            ('b1', 0, 'Allow', 'sa2', 's3:*', 'arn:aws:s3:::b1'), ('b1', 1, 'Allow', 'sa3', 's3:PutObject', 'arn:aws:s3:::b1/data/7'), ('b2', 0, 'Allow', '*', 's3:*', 'arn:aws:s3:::b2/data/*'), ('b2', 1, 'Deny', '*', 's3:Delete*', 'arn:aws:s3:::b2/*'),
+            ('b2', 2, 'Allow', 'sa1', 's3:*', 'arn:aws:s3:::b2/*'), ('b3', 0, 'Allow', 'sa0', '*', 'arn:aws:s3:::b3/*'), ('b3', 1, 'Allow', 'sa2', 's3:*', 'arn:aws:s3:::b0/*'))
+            AS s(bucket, pos, effect, principal, action, resource)""",
+    "sa_keys": "SELECT * FROM (VALUES ('sa0', 'AK3', 30), ('sa0', 'AK1', 10), ('sa1', 'AK2', 20), ('sa4', 'AK9', 5), ('sa4', 'AK8', 5)) AS k(sa, access_key, created)",
     "bucket_policies": "SELECT * FROM (VALUES ('b0', 'p-nolog'), ('b3', 'p-read')) AS e(bucket, policy)",
     # counters: running sums by user; a drop every fiftieth event is a reset
     "counters": """
         SELECT us, node, CASE WHEN type = 'error' THEN '500' WHEN type = 'signup' THEN '404' ELSE '200' END AS status, event_id % 50 * 3 + 1 AS value FROM event_log""",
     "buckets_le": """
         SELECT node, le, count(*) FILTER (WHERE value <= le) AS n FROM event_log CROSS JOIN (SELECT * FROM (VALUES (1e0), (5e0), (2e1), (5e1), (1e2), (2e2)) AS b(le)) bounds GROUP BY node, le""",
+    "buckets_day": """
+        SELECT node, us // 86400000000 AS day, le, count(*) FILTER (WHERE value <= le) AS n FROM event_log CROSS JOIN (SELECT * FROM (VALUES (1e0), (5e0), (2e1), (5e1), (1e2), (2e2)) AS b(le)) bounds GROUP BY node, us // 86400000000, le""",
     "facts": """
         SELECT cid, event_id AS seq, us, CASE event_id % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'diagnosed' WHEN 2 THEN 'action_started' WHEN 3 THEN 'verified' WHEN 4 THEN 'action_failed' ELSE 'isolated' END AS type,
                CASE user_id % 3 WHEN 0 THEN 'missing_shard' WHEN 1 THEN 'corrupt_shard' ELSE '' END AS cause, CASE WHEN event_id % 4 = 0 THEN 'isolate_object' ELSE 'repair' END AS action,

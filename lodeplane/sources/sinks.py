@@ -17,7 +17,19 @@ def of_types(events: DataFrame, types: list[str]) -> DataFrame:
 
 def query_events(events: DataFrame, since: int, until: int, limit: int = 200, types: list[str] | None = None) -> DataFrame:
     """The oldest rows of the closed range."""
-    return of_types(events.where(F.col("ts_ns").between(since, until)), types or []).orderBy("ts_ns").limit(limit)
+    return of_types(events.where(F.col("ts_ns").between(since, until)), types or []).orderBy("ts_ns", "event_id").limit(limit)
+
+
+DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
+
+
+def receipts(rows: DataFrame, since: int, until: int, retention: int, limit: int | None = None) -> DataFrame:
+    """The oldest rows of [since, until), MAX_LIMIT at most; a range beyond the retention and limits under 1 are errors."""
+    if until - since > retention:
+        raise ValueError("time range exceeds retention window")
+    if limit is not None and limit <= 0:
+        raise ValueError("invalid limit")
+    return rows.where((F.col("us") >= since) & (F.col("us") < until)).orderBy("us", "event_id").limit(min(limit or DEFAULT_LIMIT, MAX_LIMIT))
 
 
 def positive_or(raw: Column, default: int) -> Column:

@@ -39,7 +39,7 @@ def test_every_event_is_sent(spark, events):
 
 def test_addresses_of_late_requests_are_matched(spark, tmp_path):
     spark.read.parquet(f"{DIR}/events.parquet").where("event_id >= 400 AND event_id < 420").write.parquet(f"{tmp_path}/events.parquet")
-    assert plans.QUERIES["fn04"](spark, str(tmp_path)).count() == 20 * 5
+    assert plans.QUERIES["fn04"](spark, str(tmp_path)).count() == (20 + 10) * 10
 
 
 def stale_before(us):
