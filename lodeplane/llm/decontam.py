@@ -3,11 +3,15 @@
 An item's windows of 10 words are the sets to be contained. Words are ordered by rarity over
 all documents; exact containment of a whole window needs only one prefix token, so each window
 joins by its rarest word alone. Position fixes where the window would begin, length bounds it
-inside the document, and the words in that span are then compared one by one.
+inside the document, and the words in that span are then compared one by one. Where the windows are too large to
+broadcast, a position travels with its neighbour words alone; the words of a document travel once, and only of those
+in which the neighbours of some position agree too.
 
 Only A-Z are lower-cased; words are runs of letters, digits and anything above U+007F. Null and
 empty texts have no words. Rows that repeat give repeated results; rows that share a doc_id but
-not a text are judged apart. Null ids are kept. An item id that occurs twice counts once.
+not a text are judged apart. Null ids are kept. An item id that occurs twice counts once. Without
+items nothing is hit; without documents the result is empty. Very long texts are read whole. Of words equally rare
+the smallest leads its window.
 """
 
 from __future__ import annotations
@@ -43,19 +47,35 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return ws.select("item_id", F.explode(starts).alias("at"), "ws").select("item_id", F.slice("ws", F.col("at"), F.lit(size)).alias("win")).distinct()
 
 
-def _sized(df: DataFrame, n_bytes: int) -> DataFrame:
-    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+def _found(pairs: DataFrame) -> DataFrame:
+    """Of (_key, _ws, start, win, items) those whose words are those of the window."""
+    start = F.col("start")
+    same = F.slice("_ws", F.when(start >= 0, start + 1).otherwise(1), F.size("win")) == F.col("win")
+    return pairs.where((start >= 0) & (start + F.size("win") <= F.size("_ws"))).where(same).select("_key", "items", "start", F.size("win").alias("n"))
+
+
+def _by_shuffle(docs: DataFrame, by_window: DataFrame) -> DataFrame:
+    """(_key, _ws, start, win, items), each once, where the words around the leading one are those of the window."""
+    around = F.transform("_ws", lambda w, i: F.struct(w.alias("w"), F.get("_ws", i - 1).alias("before"), F.get("_ws", i + 1).alias("after")))
+    at = docs.select("_key", F.size("_ws").alias("_n"), F.posexplode(around).alias("pos", "x")).select("_key", "_n", "pos", "x.*")
+    start, off, n = F.col("pos") - F.col("off"), F.col("off"), F.size("win")
+    near = ((off == 0) | (F.get("win", off - 1) == F.col("before"))) & ((off == n - 1) | (F.get("win", off + 1) == F.col("after")))
+    maybe = at.join(by_window, "w").where((start >= 0) & (start + n <= F.col("_n")) & near).select("_key", start.alias("start"), "win", "items").distinct()
+    texts = docs.join(maybe.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    return maybe.join(texts, "_key")
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Per occurrence of a window: _key of the document, item_id, first word position from 0, length.
 
     docs has _key and _ws (its words; an empty piece at either end does no harm). The windows are broadcast only if their measured size
-    is under BROADCAST_BYTES; else Spark joins by shuffle."""
+    is under BROADCAST_BYTES."""
     wins = item_windows(items, size)
     n_bytes = items.select(F.sum(F.octet_length(text()) * size + 64)).first()[0] or 0
-    vocab = _sized(wins.select(F.explode("win").alias("w")).distinct(), n_bytes)
-    rarity = docs.select(F.explode("_ws").alias("w")).join(vocab, "w", "left_semi").groupBy("w").count()
+    small = n_bytes <= BROADCAST_BYTES
+    vocab, words_ = wins.select(F.explode("win").alias("w")).distinct(), docs.select(F.explode("_ws").alias("w"))
+    # the larger the item side, the better words are counted before they meet it
+    rarity = words_.join(F.broadcast(vocab), "w", "left_semi").groupBy("w").count() if small else words_.groupBy("w").count().join(vocab, "w", "left_semi")
     ranked = (
         wins.select("item_id", "win", F.posexplode("win").alias("off", "w"))
         .join(rarity, "w", "left")
@@ -65,11 +85,10 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
         .select("item_id", "win", F.col("r.w").alias("w"), F.col("r.off").alias("off"))
     )
     by_window = ranked.groupBy("w", "off", "win").agg(F.collect_set("item_id").alias("items"))
+    if not small:
+        return _found(_by_shuffle(docs, by_window))
     at = docs.select("_key", "_ws", F.posexplode("_ws").alias("pos", "w"))
-    start = F.col("pos") - F.col("off")
-    found = at.join(_sized(by_window, n_bytes), "w").where((start >= 0) & (start + F.size("win") <= F.size("_ws")))
-    found = found.where(F.slice("_ws", F.when(start >= 0, start + 1).otherwise(1), F.size("win")) == F.col("win"))
-    return found.select("_key", "items", start.alias("start"), F.size("win").alias("n"))
+    return _found(at.join(F.broadcast(by_window), "w").withColumn("start", F.col("pos") - F.col("off")))
 
 
 def _key() -> Column:
