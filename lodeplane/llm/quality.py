@@ -3,8 +3,8 @@
 For each document the character-class histogram and the histogram of its language's common
 words are compared by Jensen-Shannon distance (base 2, so 0 to 1) with the reference of its
 language, made from all documents of that language that pass the base rules: for common words
-the summed histogram, for character classes the median share of each class, which junk among
-the documents hardly moves. The class that no rule names holds all other letters. Documents under the minimum lengths are not judged by divergence.
+the summed histogram, for character classes the median share of each class (exact, in steps of 1 / STEPS: counts
+by step are summed, so no order of merging matters), which junk among the documents hardly moves. The class that no rule names holds all other letters. Documents under the minimum lengths are not judged by divergence.
 
 Defined results: null text counts as empty (no words, base_failed). Null or unknown languages
 are compared with the sum over all languages, without common words. Repeated rows stay. Other
@@ -13,7 +13,7 @@ columns pass through apply_rules() untouched. An empty table gives an empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, cut, let, text
@@ -33,6 +33,7 @@ CHAR_CLASSES = {
     "symbol": "#*$%&|<>=+/\\\\@^~`{}\\[\\]_",
 }
 
+STEPS = 1 << 16
 MIN_WORDS = 50
 MIN_COMMON = 10
 MAX_CHAR_DISTANCE = 0.20
@@ -113,16 +114,33 @@ def _sums(column: str, n: int) -> Column:
     return F.array(*[F.sum(F.coalesce(F.get(column, F.lit(i)), F.lit(0))) for i in range(n)])
 
 
+def _steps(good: DataFrame, key: Column) -> DataFrame:
+    """_key, _class, _step, _n: documents by the step of each class's share; at most STEPS + 1 rows a class and key."""
+    steps = F.transform("_chars", lambda c: F.floor(c * STEPS / F.col("word_chars")))
+    each = good.select(key.alias("_key"), F.posexplode(steps).alias("_class", "_step"))
+    return each.groupBy("_key", "_class", "_step").agg(F.count("*").alias("_n"))
+
+
+def _medians(steps: DataFrame) -> DataFrame:
+    """_key, _ref_chars: the lower median of each class, in the order of the classes."""
+    w = Window.partitionBy("_key", "_class")
+    upto, every = F.sum("_n").over(w.orderBy("_step")), F.sum("_n").over(w)
+    half = steps.select("_key", "_class", "_step", (2 * upto >= every).alias("_past")).where("_past").groupBy("_key", "_class").agg(F.min("_step").alias("_step"))
+    listed = half.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_class", "_step"))).alias("_m"))
+    return listed.select("_key", F.transform("_m", lambda x: x["_step"] / STEPS).alias("_ref_chars"))
+
+
 def judged(feats: DataFrame) -> DataFrame:
     """Adds base_failed, char_distance, word_distance and kept. The references are one row per
     language, made from all documents; Spark picks the join by their size."""
     feats = feats.withColumn("base_failed", base_failed())
-    n_chars, n_common = len(CHAR_CLASSES) + 1, max(map(len, COMMON_WORDS.values()))
     known = F.coalesce(F.col("lang").isin(*COMMON_WORDS), F.lit(False))
     good = feats.where(~F.col("base_failed"))
-    medians = F.array(*[F.percentile_approx(F.get("_chars", F.lit(i)) / F.col("word_chars"), 0.5, 1000) for i in range(n_chars)]).alias("_ref_chars")
-    by_lang = good.where(known).groupBy(F.col("lang").alias("_key")).agg(medians, _sums("_common", n_common).alias("_ref_common"))
-    pooled = good.groupBy().agg(medians).select(F.lit("").alias("_key"), "_ref_chars", F.array().cast("array<bigint>").alias("_ref_common"))
+    steps = _steps(good, F.when(known, F.col("lang")))
+    pooled = _medians(steps.groupBy(F.lit("").alias("_key"), "_class", "_step").agg(F.sum("_n").alias("_n")))
+    words_ = good.where(known).groupBy(F.col("lang").alias("_key")).agg(_sums("_common", max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
+    by_lang = _medians(steps.where("_key is not null")).join(words_, "_key")
+    pooled = pooled.select("_key", "_ref_chars", F.array().cast("array<bigint>").alias("_ref_common"))
     out = feats.withColumn("_key", F.when(known, F.col("lang")).otherwise("")).join(by_lang.unionByName(pooled), "_key", "left")
     out = out.withColumn("char_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("_chars"), F.col("_ref_chars"))))
     seen = F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -2,6 +2,7 @@
 tables and clashing columns."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -371,6 +372,20 @@ def test_decontamination_equals_brute_force(spark):
     assert not any(r["contaminated"] for r in decontam.report(frame(spark), spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_decontamination_without_broadcast_equals_brute_force(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in documents()]
+    text10 = rows[9][1]
+    items = [(1, " ".join(text10.split(" ")[30:55])), (2, "ONE two"), (3, None), (10, "spam spam spam"), (11, "spam " * 40), (5, "never seen words at all here"), (6, text10)]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decontam.report(frame(spark), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert decontam.report(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in out), key=repr) == sorted(brute_hits(rows, items), key=repr)
+
+
 # toxicity
 
 
@@ -605,6 +620,63 @@ def test_divergence_rejects_odd_documents(spark):
     assert kept.count() == 60 and set(kept.columns) == set(frame(spark, rows).columns)
 
 
+def plain_verdicts(rows):
+    """kept of each row, from the definitions."""
+    stop, symbol = set(".,;:!?'\"()-"), set("#*$%&|<>=+/\\@^~`{}[]_")
+    seen = []
+    for _, t, lang, *_ in rows:
+        t = t or ""
+        n_words, word_chars, _, _, repeated = brute_counts(t)
+        kinds = [sum("A" <= c <= "Z" for c in t), sum("0" <= c <= "9" for c in t), sum(c in stop for c in t), sum(c in symbol for c in t)]
+        kinds.append(max(0, word_chars - sum(kinds)))
+        listed = quality.COMMON_WORDS.get(lang, [])
+        plain = re.split(r"[\x00-\x60\x7b-\xbf]+", t.lower())
+        seen.append((lang if listed else "", n_words, word_chars, kinds, [plain.count(w) for w in listed], n_words < 10 or 100 * repeated > 20 * n_words))
+
+    def median(docs, k):
+        steps = sorted(d[3][k] * quality.STEPS // d[2] for d in docs)
+        return steps[(len(steps) - 1) // 2] / quality.STEPS
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return None
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(0.5 * (part(a, (a + b) / 2) + part(b, (a + b) / 2)) for a, b in zip(p, q, strict=True))))
+
+    good = [d for d in seen if not d[5]]
+    out = []
+    for lang, n_words, _, kinds, common, failed in seen:
+        mine = [d for d in good if lang in ("", d[0])]
+        far = False
+        if n_words >= quality.MIN_WORDS and mine:
+            d = distance(kinds, [median(mine, k) for k in range(5)])
+            far = d is not None and d > quality.MAX_CHAR_DISTANCE
+            if lang and sum(common) >= quality.MIN_COMMON:
+                d = distance(common, [sum(x) for x in zip(*(m[4] for m in mine), strict=True)])
+                far = far or (d is not None and d > quality.MAX_WORD_DISTANCE)
+        out.append(not failed and not far)
+    return out
+
+
+def test_quality_verdicts_equal_plain_model(spark):
+    rng = random.Random(11)
+    rows = list(documents())
+    for i in range(240):
+        lang = rng.choice(["en", "de", "fr", "es", "xx", None])
+        listed = quality.COMMON_WORDS.get(lang, ["lorem", "ipsum", "dolor"])
+        words = [rng.choice(listed) if rng.random() < 0.6 else rng.choice(["haus", "Tree", "agua", "maison", "x%%", "42"]) + str(rng.randrange(900)) * (rng.random() < 0.3) for _ in range(rng.choice([5, 30, 60, 150]))]
+        if i % 5 == 0:
+            words = [w.upper() + "!#" * rng.randrange(5) for w in words]
+        if i % 7 == 0:
+            words = [listed[0] if rng.random() < 0.8 else w for w in words]
+        rows.append((1000 + i, " ".join(words), lang, "s", 1))
+    got = {(r["doc_id"], r["n_words"], r["word_chars"], r["kept"]) for r in quality.quality(frame(spark, rows)).collect()}
+    want = {(r[0], *brute_counts(r[1])[:2], k) for r, k in zip(rows, plain_verdicts(rows), strict=True)}
+    assert got == want
+    assert {k for *_, k in want} == {True, False}
+
+
 def test_js_distance(spark):
     d = spark.createDataFrame([([1, 0], [0, 1]), ([2, 2], [1, 1]), ([0, 0], [1, 1])], "p array<long>, q array<long>").select(quality.js_distance(F.col("p"), F.col("q")).alias("d")).collect()
     assert [None if r["d"] is None else round(r["d"], 6) for r in d] == [1.0, 0.0, None]
