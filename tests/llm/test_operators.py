@@ -337,6 +337,57 @@ def test_extension_has_no_limit(spark):
     assert row[:3] == (2, 0, 1199) and row[6] == 800 + 300
 
 
+def pieces(rng, words, fresh, size):
+    """The words in shuffled pieces, words that occur once between them: their seeds without a passage."""
+    parts = [words[k : k + size] for k in range(0, len(words), size - 3)]
+    return " ".join(" ".join(p + [f"f{next(fresh)}" for _ in range(30)]) for p in rng.sample(parts, len(parts)))
+
+
+def test_passages_whose_seeds_lie_in_other_documents_too(spark):
+    rng, fresh = random.Random(29), iter(range(10**9))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, pieces(rng, words, fresh, 7)) for k in (1, 2, 5, 6)] + [(4, " ".join(words)), (9, f"after {' '.join(words)}")]
+    assert (9, 1, 61, 4, 0, 60, 60) in passages_of(spark, rows)
+    assert {(r[0], r[3]) for r in passages_of(spark, rows)} == {(9, 4)}
+
+
+def test_passages_of_hot_seeds_lead_to_all_that_hold_longer_runs(spark):
+    rng, fresh = random.Random(31), iter(range(10**9))
+    words = [f"w{k}" for k in range(60)]
+    many = [(k, pieces(rng, words, fresh, 7)) for k in [*range(40), *range(100, 140)]]
+    rows = many + [(50, " ".join(words)), (60, f"first {' '.join(words)}"), (200, f"after {' '.join(words)}")]
+    assert {(r[0], r[3]) for r in passages_of(spark, rows)} == {(60, 50), (200, 50), (200, 60)}
+
+
+def test_copies_are_told_by_their_first(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "pq")
+    assert passages_of(spark, [(1, a), (2, b), (3, a), (4, f"{a} more"), (5, a), (6, "too short"), (7, "too short")]) == [
+        (3, 0, 50, 1, 0, 50, 50),
+        (4, 0, 50, 1, 0, 50, 50),
+        (5, 0, 50, 1, 0, 50, 50),
+    ]
+
+
+def test_matches_equal_all_pairs_at_any_size_of_part(monkeypatch):
+    rng = random.Random(37)
+    places = sorted({(rng.randrange(40), rng.randrange(30), 50 * rng.randrange(20)) for _ in range(900)})
+    by = collections.defaultdict(lambda: collections.defaultdict(list))
+    for s, d, a in places:
+        by[s][d].append(a)
+    want = set()
+    for docs in by.values():
+        for d, at in docs.items():
+            every = sorted(e for e in docs if e < d)
+            for e in every if len(docs) <= 20 else {*every[:1], *every[-1:]}:
+                want |= {(d, e, x, docs[e][min(k, len(docs[e]) - 1)]) for k, x in enumerate(at)}
+    monkeypatch.setattr(chaining, "EVERY", 20)
+    for held in (10, 1 << 21):
+        monkeypatch.setattr(chaining, "HELD_SEEDS", held)
+        parts = list(chaining.matched(*(np.array(c, np.int64) for c in zip(*rng.sample(places, len(places)), strict=True))))
+        assert {r for _, part in parts for r in zip(*(c.tolist() for c in part), strict=True)} == want
+        assert {int(s) for many, _ in parts for s in many} == {s for s, docs in by.items() if len(docs) > 20}
+
+
 # decontamination
 
 
