@@ -388,6 +388,14 @@ def test_matches_equal_all_pairs_at_any_size_of_part(monkeypatch):
         assert {int(s) for many, _ in parts for s in many} == {s for s, docs in by.items() if len(docs) > 20}
 
 
+def test_what_alignments_need_is_not_sent_to_the_driver(spark):
+    rows = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(60)) + f" x{k}") for k in range(3)], "doc_id long, text string")
+    kind = "n long, doc_id long, of_doc_id long, runs binary, low int, high int"
+    chained = spark.createDataFrame([(0, 1, 0, np.array([[0, 0, 60]], np.int32).tobytes(), 0, chaining.NO_END)], kind)
+    plan = chaining._aligned(chained, rows, 32)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1  # the bit map
+
+
 # decontamination
 
 
