@@ -8,7 +8,9 @@ TF-IDF vectors (1 + log tf, smoothed idf from all learning rows) of unit length.
 no term share one dimension of the fixed weight REST, so that one weak term among other words is
 less than many. Vectors are indexed
 by inverted lists in blocks of BLOCK examples, with the largest weight of each term in each block:
-a block is scored only while its bound can still beat the K-th best, so the K nearest by cosine are exact.
+a block is scored only while its bound can still beat the K-th best, so the K nearest by cosine are exact. Where more
+than one of SPARSE blocks are left, their lists are read as a whole, which is cheaper than to skip in them; the WIDE longest
+ones are laid out as rows for that.
 Score: the share of toxic ones among the K nearest, weighted by similarity, read through a
 calibration table made by leaving each example out in turn. Texts without terms get the rate of toxic
 ones among such examples. The nearest ids are the evidence.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +39,7 @@ from .common import cut, text
 MAX_EXAMPLES = 6000
 MIN_CHI2, MIN_DOCS = 20.0, 4
 BLOCK, K = 64, 15
+FIRST, SPARSE, WIDE = 5, 8, 512
 PREFIX, REST = 5, 3.0
 BINS = 20
 MAX_SAID = 50_000
@@ -48,9 +51,15 @@ def learns(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def words(t: str) -> list[str]:
-    found = WORD.findall(t.lower())
-    return found + [w[:PREFIX] + "-" for w in found if len(w) > PREFIX]
+def bag(t: str, terms: Container[str]) -> dict[str, int]:
+    """How often each of the terms is in a text."""
+    out: dict[str, int] = {}
+    for w, n in Counter(WORD.findall(t.lower())).items():
+        if w in terms:
+            out[w] = n
+        if len(w) > PREFIX and (w := w[:PREFIX] + "-") in terms:
+            out[w] = out.get(w, 0) + n
+    return out
 
 
 class Model:
@@ -82,7 +91,9 @@ class Model:
         self.n_blocks = n_blocks
         self.ids = np.append(self.ids, np.zeros(n_blocks * BLOCK - len(self.ids), np.int64))
         self.said: dict = {}
+        self.rows: dict[int, np.ndarray] = {}
         self.none, self.table = self._calibrated()
+        self.rows = {}  # not sent to the workers
 
     def vector(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         pairs = sorted((self.at[t], n) for t, n in bag.items() if t in self.at)
@@ -101,7 +112,7 @@ class Model:
         order = np.argsort(-bounds, kind="stable")
         scores = np.zeros(self.n_blocks * BLOCK)
         least, done = 0.0, 0
-        for step in (1, 4, self.n_blocks):  # the best blocks first: they raise the score to beat
+        for step in (FIRST, self.n_blocks):  # the best blocks first: they raise the score to beat
             left = order[done : done + step]
             left = left[(bounds[left] > 0) & (bounds[left] >= least - 1e-9)]
             if not len(left):
@@ -117,13 +128,30 @@ class Model:
         return [(float(scores[i]), int(i)) for i in best]
 
     def _add(self, scores: np.ndarray, terms: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> None:
-        """Adds what the lists of some blocks give; adjoining blocks are read together."""
-        blocks = np.sort(blocks)
-        cut_at = np.flatnonzero(np.diff(blocks) > 1) + 1
-        first, last = blocks[np.concatenate([[0], cut_at])], blocks[np.append(cut_at, len(blocks)) - 1]
-        for t, w in zip(terms, weight, strict=True):
-            for a, z in zip(self.lists[t * self.n_blocks + first], self.lists[t * self.n_blocks + last + 1], strict=True):
-                scores[self.who[a:z]] += w * self.weight[a:z]
+        """Adds what the lists of some blocks give, or gives the scores of all blocks where those are many."""
+        if len(blocks) > FIRST and len(blocks) * SPARSE > self.n_blocks:
+            self.rows = self.rows or self._rows()
+            scores[:] = 0
+            for t, w, a, z in zip(terms.tolist(), weight.tolist(), self.lists[terms * self.n_blocks].tolist(), self.lists[(terms + 1) * self.n_blocks].tolist(), strict=True):
+                if (row := self.rows.get(t)) is not None:
+                    scores += w * row
+                else:
+                    scores[self.who[a:z]] += w * self.weight[a:z]
+            return
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        size = self.lists[cells + 1] - self.lists[cells]
+        at = np.repeat(self.lists[cells] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        scores += np.bincount(self.who[at], np.repeat(np.repeat(weight, len(blocks)), size) * self.weight[at], len(scores))
+
+    def _rows(self) -> dict[int, np.ndarray]:
+        """The longest lists with a place for every example."""
+        bounds = self.lists[:: self.n_blocks]
+        size, out = np.diff(bounds), {}
+        for t in np.argsort(-size, kind="stable")[:WIDE].tolist():
+            if size[t] * SPARSE > len(self.vectors):
+                out[t] = np.zeros(self.n_blocks * BLOCK)
+                out[t][self.who[bounds[t] : bounds[t + 1]]] = self.weight[bounds[t] : bounds[t + 1]]
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -150,9 +178,9 @@ class Model:
         return (alone[0] / alone[1] if alone[1] else 0.0), np.concatenate([np.full(int(n), h / c) for h, c, n in merged])
 
     def score(self, t: str) -> tuple[float, list[int]]:
-        bag = Counter(filter(self.at.__contains__, words(t)))
-        if (said := self.said.get(key := tuple(sorted(bag.items())))) is None:
-            near = self.nearest(*self.vector(bag))
+        found = bag(t, self.at)
+        if (said := self.said.get(key := tuple(sorted(found.items())))) is None:
+            near = self.nearest(*self.vector(found))
             said = (float(self.table[int(self.vote(near) * BINS)]), [int(self.ids[i]) for _, i in near[:3]]) if near else (float(self.none), [])
             if len(self.said) > MAX_SAID:
                 self.said.clear()
@@ -175,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in set(words(t)):
+                found = set(WORD.findall(t.lower()))
+                for w in found | {w[:PREFIX] + "-" for w in found if len(w) > PREFIX}:
                     seen.setdefault(w, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["term", "no", "yes"])
 
@@ -195,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [Counter(filter(terms.__contains__, words(t))) for t in batch.column("text").to_pylist()]
+            out = [bag(t, terms) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[*map(str, chain.from_iterable((w, n) for w, n in c.items()))] for c in out], pa.list_(pa.string()))], names=["doc_id", "toxic", "bag"])
 
     chosen = cut(rows.select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).select("doc_id"), "chosen")

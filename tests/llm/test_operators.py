@@ -465,6 +465,33 @@ def test_nearest_examples_are_exact():
         assert [i for _, i in m.nearest(t, w)] == want
 
 
+def test_many_terms_and_blocks_are_searched_exactly_in_few_reads():
+    rng = random.Random(41)
+    terms = [f"t{k}" for k in range(400)]
+    for sizes, most in (((60, 90), 95), ((1, 4), None)):
+        bags = [{t: rng.randrange(1, 5) for t in rng.sample(terms, rng.randrange(*sizes))} for _ in range(1500)]
+        m = toxicity.Model(terms, [1 + k / 400 for k in range(400)], list(range(1500)), [rng.randrange(2) for _ in range(1500)], bags)
+        dense = np.zeros((1500, 401))
+        for i, (t, w) in enumerate(m.vectors):
+            dense[i, t] = w
+
+        class Counted(np.ndarray):
+            reads = 0
+
+            def __getitem__(self, at):
+                Counted.reads += 1
+                return super().__getitem__(at)
+
+        m.nearest(*m.vector(bags[0]))  # what is laid out once
+        m.who = m.who.view(Counted)
+        for bag in bags[:40]:
+            t, w = m.vector(bag)
+            Counted.reads, sims = 0, dense[:, t] @ w
+            want = sorted((i for i in range(1500) if sims[i] > 0), key=lambda i: (-round(sims[i], 9), m.ids[i]))[: toxicity.K]
+            assert [i for _, i in m.nearest(t, w)] == want
+            assert most is None or Counted.reads <= most
+
+
 def test_toxicity_is_learnt_and_held_out(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, 30) + (" idiot moron scum" if i % 5 == 0 else ""), "en", "s", 1) for i in range(400)]
