@@ -10,7 +10,7 @@ less than many. Vectors are indexed
 by inverted lists in blocks of BLOCK examples, with the largest weight of each term in each block:
 a block is scored only while its bound can still beat the K-th best, so the K nearest by cosine are exact. Where more
 than one of SPARSE blocks are left, their lists are read as a whole, which is cheaper than to skip in them; the WIDE longest
-ones are laid out as rows for that.
+ones are laid out as rows for that, which many texts multiply at once. Similarities are rounded to 9 digits.
 Score: the share of toxic ones among the K nearest, weighted by similarity, read through a
 calibration table made by leaving each example out in turn. Texts without terms get the rate of toxic
 ones among such examples. The nearest ids are the evidence.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Container, Iterable, Iterator
+from hashlib import md5
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,7 @@ MAX_EXAMPLES = 6000
 MIN_CHI2, MIN_DOCS = 20.0, 4
 BLOCK, K = 64, 15
 FIRST, SPARSE, WIDE = 5, 8, 512
+AT_ONCE = 64
 PREFIX, REST = 5, 3.0
 BINS = 20
 MAX_SAID = 50_000
@@ -62,6 +64,20 @@ def bag(t: str, terms: Container[str]) -> dict[str, int]:
     return out
 
 
+class TermsOf(dict):
+    """The terms, as numbers, that a word gives."""
+
+    def __init__(self, at: dict[str, int]) -> None:
+        self.at = at
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        out = tuple(self.at[t] for t in ((w, w[:PREFIX] + "-") if len(w) > PREFIX else (w,)) if t in self.at)
+        if len(self) > MAX_SAID:
+            self.clear()
+        self[w] = out
+        return out
+
+
 class Model:
     """Terms with idf, and the block-max index of the examples."""
 
@@ -91,67 +107,96 @@ class Model:
         self.n_blocks = n_blocks
         self.ids = np.append(self.ids, np.zeros(n_blocks * BLOCK - len(self.ids), np.int64))
         self.said: dict = {}
-        self.rows: dict[int, np.ndarray] = {}
+        self.terms_of: TermsOf | None = None
+        self.rows = self.row_of = None
         self.none, self.table = self._calibrated()
-        self.rows = {}  # not sent to the workers
+        self.rows = self.row_of = None  # not sent to the workers
 
     def vector(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         pairs = sorted((self.at[t], n) for t, n in bag.items() if t in self.at)
-        terms = np.array([t for t, _ in pairs], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in pairs], float))) * self.idf[terms] if pairs else np.zeros(0)
-        if pairs:
-            terms, weight = np.append(terms, len(self.at)), np.append(weight, REST)
-            weight = weight / np.sqrt((weight**2).sum())
-        return terms, weight
+        return self._vector(np.array([t for t, _ in pairs], np.int64), np.array([n for _, n in pairs], float))
+
+    def _vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(terms):
+            return terms, counts
+        weight = np.append((1 + np.log(counts)) * self.idf[terms], REST)
+        return np.append(terms, len(self.at)), weight / np.sqrt((weight**2).sum())
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, but: int = -1) -> list[tuple[float, int]]:
         """The K nearest examples (similarity, index) with a similarity over 0, nearest first."""
-        if not len(terms) or not self.n_blocks:
-            return []
-        bounds = weight @ self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        scores = np.zeros(self.n_blocks * BLOCK)
-        least, done = 0.0, 0
-        for step in (FIRST, self.n_blocks):  # the best blocks first: they raise the score to beat
-            left = order[done : done + step]
-            left = left[(bounds[left] > 0) & (bounds[left] >= least - 1e-9)]
-            if not len(left):
-                break
-            self._add(scores, terms, weight, left)
-            if but >= 0:
-                scores[but] = 0
-            done += step
-            some = scores[scores > 0]
+        return self.all_nearest([(terms, weight)], [but])[0]
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int]) -> list[list[tuple[float, int]]]:
+        """nearest() of each of some vectors."""
+        out: list[list[tuple[float, int]]] = [[] for _ in vectors]
+        wide = []
+        for k, (terms, weight) in enumerate(vectors):
+            if not len(terms) or not self.n_blocks:
+                continue
+            bounds = weight @ self.bound[terms]
+            order = np.argsort(-bounds, kind="stable")
+            scores = np.zeros(self.n_blocks * BLOCK)
+            self._add(scores, terms, weight, order[:FIRST])  # the best blocks first: they raise the score to beat
+            if but[k] >= 0:
+                scores[but[k]] = 0
+            some, left = scores[scores > 0], order[FIRST:]
             least = np.partition(some, len(some) - K)[len(some) - K] if len(some) >= K else 0.0
-        found = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
-        best = found[np.lexsort((self.ids[found], -np.round(scores[found], 9)))[:K]]
-        return [(float(scores[i]), int(i)) for i in best]
+            left = left[(bounds[left] > 0) & (bounds[left] >= least - 1e-8)]
+            if len(left) * SPARSE > self.n_blocks:
+                wide.append(k)
+                continue
+            if len(left):
+                self._add(scores, terms, weight, left)
+            out[k] = self._best(scores, but[k])
+        for a in range(0, len(wide), AT_ONCE):
+            part = wide[a : a + AT_ONCE]
+            for k, scores in zip(part, self._whole([vectors[k] for k in part]), strict=True):
+                out[k] = self._best(scores, but[k])
+        return out
+
+    def _best(self, scores: np.ndarray, but: int) -> list[tuple[float, int]]:
+        if but >= 0:
+            scores[but] = 0
+        least = np.partition(scores, len(scores) - K)[len(scores) - K] if len(scores) > K else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least - 1e-8))
+        said = np.round(scores[found], 9)
+        best = np.lexsort((self.ids[found], -said))[:K]
+        return list(zip(said[best].tolist(), found[best].tolist(), strict=True))
 
     def _add(self, scores: np.ndarray, terms: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> None:
-        """Adds what the lists of some blocks give, or gives the scores of all blocks where those are many."""
-        if len(blocks) > FIRST and len(blocks) * SPARSE > self.n_blocks:
-            self.rows = self.rows or self._rows()
-            scores[:] = 0
-            for t, w, a, z in zip(terms.tolist(), weight.tolist(), self.lists[terms * self.n_blocks].tolist(), self.lists[(terms + 1) * self.n_blocks].tolist(), strict=True):
-                if (row := self.rows.get(t)) is not None:
-                    scores += w * row
-                else:
-                    scores[self.who[a:z]] += w * self.weight[a:z]
-            return
+        """Adds what the lists of some blocks give."""
         cells = (terms[:, None] * self.n_blocks + blocks).ravel()
-        size = self.lists[cells + 1] - self.lists[cells]
-        at = np.repeat(self.lists[cells] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        scores += np.bincount(self.who[at], np.repeat(np.repeat(weight, len(blocks)), size) * self.weight[at], len(scores))
+        self._read(scores, self.lists[cells], self.lists[cells + 1], np.repeat(weight, len(blocks)))
+
+    def _read(self, scores: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> None:
+        size = end - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        scores += np.bincount(self.who[at], np.repeat(weight, size) * self.weight[at], len(scores))
+
+    def _whole(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The scores of all examples by whole lists, a row for each vector."""
+        if self.rows is None:
+            self.rows, self.row_of = self._rows()
+        out = np.zeros((len(vectors), len(self.rows)))
+        for k, (terms, weight) in enumerate(vectors):
+            at = self.row_of[terms]
+            out[k, at[at >= 0]] = weight[at >= 0]
+        out = out @ self.rows
+        for k, (terms, weight) in enumerate(vectors):
+            rest = self.row_of[terms] < 0
+            self._read(out[k], self.lists[terms[rest] * self.n_blocks], self.lists[(terms[rest] + 1) * self.n_blocks], weight[rest])
+        return out
 
-    def _rows(self) -> dict[int, np.ndarray]:
-        """The longest lists with a place for every example."""
+    def _rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest lists with a place for every example, and the row of each term or -1."""
         bounds = self.lists[:: self.n_blocks]
-        size, out = np.diff(bounds), {}
-        for t in np.argsort(-size, kind="stable")[:WIDE].tolist():
-            if size[t] * SPARSE > len(self.vectors):
-                out[t] = np.zeros(self.n_blocks * BLOCK)
-                out[t][self.who[bounds[t] : bounds[t + 1]]] = self.weight[bounds[t] : bounds[t + 1]]
-        return out
+        size = np.diff(bounds)
+        longest = [t for t in np.argsort(-size, kind="stable")[:WIDE].tolist() if size[t] * SPARSE > len(self.vectors)]
+        rows, row_of = np.zeros((len(longest), self.n_blocks * BLOCK)), np.full(len(size), -1)
+        for k, t in enumerate(longest):
+            row_of[t] = k
+            rows[k, self.who[bounds[t] : bounds[t + 1]]] = self.weight[bounds[t] : bounds[t + 1]]
+        return rows, row_of
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -160,9 +205,10 @@ class Model:
     def _calibrated(self) -> tuple[float, np.ndarray]:
         """The rate among examples without neighbours, and a rising rate for each range of votes."""
         hits, counts, alone = np.zeros(BINS + 1), np.zeros(BINS + 1), [0.0, 0.0]
+        near_all = self.all_nearest(self.vectors, list(range(len(self.vectors))))
         for i, v in enumerate(self.vectors):
-            if len(v[0]) > 1 and (near := self.nearest(*v, but=i)):
-                k = int(self.vote(near) * BINS)
+            if len(v[0]) > 1 and (near := near_all[i]):
+                k = int(self.vote(near) * BINS + 1e-6)
                 hits[k] += self.labels[i]
                 counts[k] += 1
             else:
@@ -177,15 +223,29 @@ class Model:
                 merged[-1] = [x + y for x, y in zip(merged[-1], last, strict=True)]
         return (alone[0] / alone[1] if alone[1] else 0.0), np.concatenate([np.full(int(n), h / c) for h, c, n in merged])
 
-    def score(self, t: str) -> tuple[float, list[int]]:
-        found = bag(t, self.at)
-        if (said := self.said.get(key := tuple(sorted(found.items())))) is None:
-            near = self.nearest(*self.vector(found))
-            said = (float(self.table[int(self.vote(near) * BINS)]), [int(self.ids[i]) for _, i in near[:3]]) if near else (float(self.none), [])
-            if len(self.said) > MAX_SAID:
-                self.said.clear()
-            self.said[key] = said
-        return said
+    def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """The score of each text and the ids of the nearest examples."""
+        self.terms_of = TermsOf(self.at) if self.terms_of is None else self.terms_of
+        keys, new = [], {}
+        for t in texts:
+            found: dict[int, int] = {}
+            for w, n in Counter(WORD.findall(t.lower())).items():
+                for k in self.terms_of[w]:
+                    found[k] = found.get(k, 0) + n
+            terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), float, len(found))
+            order = np.argsort(terms)
+            terms, counts = terms[order], counts[order]
+            keys.append(key := md5(terms.tobytes() + counts.tobytes()).digest())
+            if key not in self.said and key not in new:
+                new[key] = self._vector(terms, counts)
+        said = {}
+        for key, near in zip(new, self.all_nearest(list(new.values()), [-1] * len(new)), strict=True):
+            said[key] = (float(self.table[int(self.vote(near) * BINS + 1e-6)]), [int(self.ids[i]) for _, i in near[:3]]) if near else (float(self.none), [])
+        out = [said[k] if k in said else self.said[k] for k in keys]
+        if len(self.said) > MAX_SAID:
+            self.said.clear()
+        self.said |= said
+        return out
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,7 +299,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shipped.value.score(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            out = [x for a in range(0, len(texts), 4 * AT_ONCE) for x in shipped.value.score(texts[a : a + 4 * AT_ONCE])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text().alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
