@@ -20,6 +20,7 @@ share a doc_id are ordered by the hash of their text. An empty table gives no fi
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import struct
@@ -27,9 +28,12 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -43,6 +47,7 @@ from .trie_bpe import Known, _worker, byte_alphabet, sliced
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
 NULL_ID = -(1 << 63)
+SLICE_CHARS = 1 << 23  # the more, the fewer times a word is looked up
 LETTERS = {byte: letter for letter, byte in byte_alphabet().items()}
 
 
@@ -50,7 +55,8 @@ def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
     if not bits:
         return [p.tobytes() for p in planes]
-    return [np.packbits((p >> k) & 1).tobytes() for p in planes for k in range(8)]
+    none = bytes((len(ids) + 7) // 8)  # the upper half of ids under 65,536 has no bits
+    return [np.packbits((p >> k) & 1).tobytes() if any_bit else none for p in planes for any_bit in (p.any(),) for k in range(8)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
@@ -136,6 +142,18 @@ class _Bytes(dict):
         return self[code]
 
 
+@contextmanager
+def collecting_no_garbage() -> Iterator[None]:
+    """For code that makes many objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class WordEncoder:
     """The tokenizers library. Where a tokenizer splits at white space and by one pattern, its model alone is asked,
     once for each distinct piece of the chunks between white space; all other tokenizers and texts with unusual
@@ -168,24 +186,36 @@ class WordEncoder:
         return self.library.encode(t, add_special_tokens=False).ids
 
     def _learn(self, fresh: list[str]) -> None:
-        split = [(c, [c] if c.isalpha() else self.pattern.findall(c)) for c in fresh]
-        missing = self.pieces.missing({p for _, ps in split for p in ps})
+        plain = [c for c in fresh if c.isalpha()]
+        split = {c: self.pattern.findall(c) for c in fresh if not c.isalpha()}
+        missing = self.pieces.missing(set(chain(plain, chain.from_iterable(split.values()))))
+        tokenize, known = self.model.tokenize, self.pieces.new
         for p in missing:
-            tokens = self.model.tokenize(p if p.isascii() and p.isprintable() else p.translate(self.mapped))
-            self.pieces.new[p] = array("I", [t.id for t in tokens]).tobytes()
-        look = self.pieces.new.__getitem__
-        self.chunks.new |= {c: b"".join(map(look, ps)) for c, ps in split}
+            known[p] = array("I", [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.translate(self.mapped))]).tobytes()
+        look = known.__getitem__
+        self.chunks.new.update(zip(plain, map(look, plain), strict=True))
+        self.chunks.new.update((c, b"".join(map(look, ps))) for c, ps in split.items())
         self.pieces.forget_long(missing)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if self.pattern is None or self._unusual(t) else t.lower().split() for t in texts]
-        distinct = set().union(*(c for c in cut if c))
-        fresh = self.chunks.missing(distinct)
-        self._learn(fresh)
-        look = self.chunks.new.__getitem__
-        out = [np.array(self.whole(t), np.uint32) if c is None else np.frombuffer(b"".join(map(look, c)), np.uint32) for t, c in zip(texts, cut, strict=True)]
-        self.chunks.forget_long(fresh)
-        return out
+        """The ids of each text. Chunks are numbered by Arrow, and each distinct one is looked up once."""
+        usual = [self.pattern is not None and not self._unusual(t) for t in texts]
+        chunks = pc.utf8_split_whitespace(pa.array([t.lower() for t, u in zip(texts, usual, strict=True) if u], pa.large_string()))
+        numbered = chunks.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        with collecting_no_garbage():
+            fresh = self.chunks.missing(distinct)
+            self._learn(fresh)
+            found = list(map(self.chunks.new.__getitem__, distinct))
+            self.chunks.forget_long(fresh)
+        ids, size = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = numbered.indices.to_numpy()
+        count = size[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        every = ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], count) + np.arange(ends[-1])]
+        bounds = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()].tolist()
+        parts = iter([every[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        return [next(parts) if u else np.array(self.whole(t), np.uint32) for t, u in zip(texts, usual, strict=True)]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, bits: bool = True) -> DataFrame:
@@ -202,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder, writer, out = _worker(WordEncoder, blob), None, None
         for batch in batches:
-            for first, texts in sliced(batch, "text"):
+            for first, texts in sliced(batch, "text", SLICE_CHARS):
                 if writer is None:
                     out = where.open_output_stream(f"{name}.tmp")
                     writer = Writer(out, bits)

@@ -260,13 +260,13 @@ def _worker(kind, blob):
     return _LOADED[k]
 
 
-def sliced(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of a batch, about SLICE_CHARS at a time."""
+def sliced(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a batch, about chars at a time."""
     texts, start, held = [], 0, 0
     for i, t in enumerate(batch.column(column)):
         texts.append(t.as_py() or "")
         held += len(texts[-1])
-        if held >= SLICE_CHARS or i + 1 == batch.num_rows:
+        if held >= chars or i + 1 == batch.num_rows:
             yield start, texts
             texts, start, held = [], i + 1, 0
 

@@ -529,6 +529,29 @@ def test_token_files_equal_the_library(spark, tmp_path):
     assert bitplane.read_tokens(bitplane.write_tokens(frame(spark), path, 2)).where("doc_id is null").count() == 2
 
 
+def test_a_chunk_is_looked_up_once_in_a_slice_however_often_it_occurs():
+    asked = collections.Counter()
+
+    class Counting(dict):
+        def __getitem__(self, k):
+            asked[k] += 1
+            return super().__getitem__(k)
+
+    encoder = bitplane.WordEncoder(open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    encoder.chunks.new = Counting()
+    texts = ["some words, some" + " words," * 500, "", " \n ", "SOME words,"]
+    ids = encoder.encode_all(texts)
+    assert [i.tolist() for i in ids] == [encoder.whole(t) for t in texts]
+    assert asked["some"] == asked["words,"] == 1
+
+
+def test_every_character_splits_as_in_the_library():
+    encoder = bitplane.WordEncoder(open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = [t for c in (*range(0x2100), 0x3000, 0xFEFF) for t in (f"it{chr(c)}is {chr(c)}", f"{chr(c)}A")]
+    assert [i.tolist() for i in encoder.encode_all(texts)] == [encoder.whole(t) for t in texts]
+    assert encoder.encode_all([]) == []
+
+
 # PII
 
 
