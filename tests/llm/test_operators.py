@@ -396,6 +396,64 @@ def test_what_alignments_need_is_not_sent_to_the_driver(spark):
     assert plan.count("BroadcastExchange") == 1  # the bit map
 
 
+def test_matches_of_long_hot_runs_are_made_in_parts_of_bounded_size():
+    n = 4
+    docs = np.repeat(np.arange(60), 200)
+    place, bucket = np.tile(np.arange(0, 200 * 50, 50), 60), len(chaining.LONGER) * n - 1
+    runs = np.tile(np.arange(200, dtype=np.uint64), 60)
+    packed = chaining._packed(np.full(len(docs), bucket), [runs, docs, place], n * len(chaining.LONGER), plain=1)
+
+    class Dealt:
+        mapInArrow = staticmethod(lambda run, kind: run)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chaining, "_by_bucket", lambda df, n: Dealt)
+        m.setattr(chaining, "HELD_MATCHES", 1 << 14, raising=False)
+        m.setattr(chaining, "HELD_SEEDS", 1 << 14)
+        parts = [chaining._unpacked([b], 4) for b in chaining._matches(None, n, chaining.LONGER)(iter([packed]))]
+    inner = (chaining.LONGER[-1] - chaining.K) // chaining.K + 1
+    assert sum(len(p[0]) for p in parts) == inner * 200 * 60 * 59 // 2
+    assert max(len(p[0]) for p in parts) <= (1 << 14) + inner * 60 * 59
+
+
+def test_rows_in_order_and_packed_rows_of_any_range():
+    rng = np.random.default_rng(41)
+    for low, high in ((0, 3), (-5, 200_000), (0, 1 << 40), (-(1 << 62), 1 << 62), (-(1 << 63), (1 << 63) - 1)):
+        columns = [rng.integers(low, high, 500, endpoint=True) for _ in range(2)] + [rng.integers(0, 50, 500) for _ in range(2)]
+        want = sorted(zip(*(c.tolist() for c in columns), strict=True))
+        assert list(zip(*(c.tolist() for c in chaining.in_order(columns)), strict=True)) == want
+        assert sorted(zip(*(c.tolist() for c in chaining.in_order(columns[:3], columns[3:])), strict=True)) == want
+        bucket = rng.integers(0, 3, 500)
+        packed = chaining._packed(bucket, columns, 3)
+        for k, blob in zip(packed.column(0).to_pylist(), range(3), strict=True):
+            got = chaining._unpacked([packed.slice(blob, 1)], 4)
+            assert all((g == c[bucket == k]).all() for g, c in zip(got, columns, strict=True))
+    assert [len(c) for c in chaining.in_order([np.zeros(0, np.int64)] * 3)] == [0, 0, 0]
+
+
+def test_common_pairs_by_bits_equal_those_by_the_table():
+    def by_table(a, b):
+        rows = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                rows[i + 1, j + 1] = rows[i, j] + 1 if v == w else max(rows[i, j + 1], rows[i + 1, j])
+        out, i, j = [], len(a), len(b)
+        while i and j and rows[i, j]:
+            if rows[i - 1, j] == rows[i, j]:
+                i -= 1
+            elif rows[i, j - 1] == rows[i, j]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
+
+    rng = random.Random(43)
+    for _ in range(800):
+        a, b = ([rng.randrange(rng.choice([1, 4, 40])) for _ in range(rng.choice([0, 1, 2, 9, 40]))] for _ in range(2))
+        assert chaining.common_pairs(np.array(a, np.uint64), np.array(b, np.uint64)) == by_table(a, b)
+
+
 # decontamination
 
 
