@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeplane.llm import bitplane, chaining, components, decontam, histogram_sort, quality, rlbwt, setsketch, surrogates, toxicity, trie_bpe
+from lodeplane.llm import bitplane, chaining, components, decontam, histogram_sort, quality, rlbwt, setsketch, surrogates, toxicity, trie_bpe, wordhash
 from lodeplane.llm.queries import tokenizer_path
 
 from .helpers import SPACE_WORD, documents, frame, prose, shingles, strip
@@ -416,6 +416,22 @@ def test_matches_of_long_hot_runs_are_made_in_parts_of_bounded_size():
     assert max(len(p[0]) for p in parts) <= (1 << 14) + inner * 60 * 59
 
 
+def test_few_longer_runs_take_few_buckets():
+    none, some = np.zeros(chaining.FILTER_BITS // 8, np.uint8), np.full(chaining.FILTER_BITS // 8, 1, np.uint8)
+    assert chaining.longer_buckets(none, 1000, 200, 12) == 12
+    assert chaining.longer_buckets(none, 50 * chaining.BUCKET_SEEDS, 200, 12) == 51
+    assert chaining.longer_buckets(some, 50 * chaining.BUCKET_SEEDS, 200, 12) == 76  # an eighth of the other places too
+    assert chaining.longer_buckets(none, 10**12, 200, 12) == 200
+
+
+def test_sums_of_runs_equal_a_plain_model():
+    rng = random.Random(47)
+    for n, k in ((0, 1), (3, 4), (5, 1), (40, 4), (40, 10), (40, 32), (70, 7)):
+        h, f = [rng.getrandbits(64) for _ in range(n)], [pow(int(wordhash.STEP), j, 1 << 64) for j in range(k)]
+        want = [sum(h[i + j] * f[j] for j in range(k)) % (1 << 64) for i in range(n - k + 1)]
+        assert wordhash.run_sums(np.array(h, np.uint64), k).tolist() == want
+
+
 def test_rows_in_order_and_packed_rows_of_any_range():
     rng = np.random.default_rng(41)
     for low, high in ((0, 3), (-5, 200_000), (0, 1 << 40), (-(1 << 62), 1 << 62), (-(1 << 63), (1 << 63) - 1)):
