@@ -194,6 +194,50 @@ def test_random_repeats(spark):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out) == sorted(strip(rows))
 
 
+def stripped(spark, rows):
+    out = rlbwt.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out), key=repr) == sorted(strip(rows), key=repr)
+
+
+def test_texts_of_one_id_keep_their_own_marks(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    stripped(spark, [(1, a), (1, a), (1, b), (2, "x " + a), (2, c), (2, b + " yy"), (2, b), (2, c), (3, c + a), (3, None), (3, "short"), (None, a), (None, b), (3, c + a)])
+
+
+def test_stretches_repeated_in_one_document(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        u, v = ("".join(rng.choice("abcdefghij") for _ in range(26)) for _ in range(2))
+        for _ in range(8):
+            rows.append((len(rows), "".join(rng.choice([u + v, u + v + "z", u + "q" + v, v + u, "k" + u + v]) for _ in range(rng.randrange(1, 12)))))
+    stripped(spark, rows)
+
+
+def test_owners_in_the_index():
+    rng = random.Random(7)
+    for _ in range(300):
+        u, v = ("".join(rng.choice("ab") for _ in range(26)).encode() for _ in range(2))
+        parts = [rng.choice([u + v, u + v + b"z", u + b"q" + v, v + u, v + v]) for _ in range(rng.randrange(1, 15))]
+        owner = [rng.randrange(4) for _ in parts]
+        least = {}
+        for p, d in zip(parts, owner, strict=True):
+            for k in range(len(p) - 49):
+                least[p[k : k + 50]] = min(d, least.get(p[k : k + 50], d))
+        want = [k + 50 <= len(p) and least[p[k : k + 50]] < d for p, d in zip(parts, owner, strict=True) for k in range(len(p) + 1)]
+        t = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
+        got = rlbwt.RunLengthIndex(t).smaller_owner(np.repeat(owner, [len(p) + 1 for p in parts]))
+        assert got.tolist() == want
+
+
+def test_stretches_of_one_hash_are_compared():
+    size = np.array([50, 51, 51, 60])
+    begin = np.cumsum(size) - size
+    data = np.frombuffer((b"a" * 50) + (b"a" * 50 + b"b") * 2 + b"a" * 60, np.uint8)
+    assert rlbwt.settle(np.zeros(4, np.uint64), np.array([1, 2, 3, 4]), data, begin, size).tolist() == [False, False, True, False]
+
+
 def test_match_lengths_of_the_index():
     rng = random.Random(3)
     t = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), np.uint8)
